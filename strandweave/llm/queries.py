@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .simhash import op10
+from .suffixdedup import op2
 
 QUERIES = {
+    "op2_suffix_array_dedup": op2,
     "op10_simhash_near_duplicates": op10,
 }
 #: SQL for those queries that it can express in full.
