@@ -5,10 +5,12 @@ from __future__ import annotations
 from .decontam import op5
 from .simhash import op10
 from .suffixdedup import op2
+from .transducer import op6
 
 QUERIES = {
     "op2_suffix_array_dedup": op2,
     "op5_fm_index_decontamination": op5,
+    "op6_transducer_token_counts": op6,
     "op10_simhash_near_duplicates": op10,
 }
 #: SQL for those queries that it can express in full.
