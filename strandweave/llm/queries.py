@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import op5
+from .packing import op8
 from .simhash import op10
 from .suffixdedup import op2
 from .transducer import op6
@@ -11,6 +12,7 @@ QUERIES = {
     "op2_suffix_array_dedup": op2,
     "op5_fm_index_decontamination": op5,
     "op6_transducer_token_counts": op6,
+    "op8_hilbert_packing": op8,
     "op10_simhash_near_duplicates": op10,
 }
 #: SQL for those queries that it can express in full.
