@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -209,7 +210,7 @@ def blocks(docs: DataFrame, text: str) -> DataFrame:
         def block() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held).combine_chunks()
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 4))) as out:
                 out.write_table(rows, max_chunksize=rows.num_rows)
             column = rows.column(at)
             raw, _ = flat(column.combine_chunks() if column.num_chunks != 1 else column.chunk(0))
@@ -285,7 +286,7 @@ def repeated_spans(table: DataFrame, text_at: int, id_at: int) -> DataFrame:
                 r, s0, s1 = _spans(marks)
                 start = at[r] - s1 - offsets[row[r]]
                 done = _pack(row[r].astype(np.int32), start, at[r] - s0 + WINDOW - offsets[row[r]])
-                yield _rows([(0, block, block, done)])
+                yield _rows([(0, block % (len(splitters) + 1), block, done)])
                 # windows that are the block's first: their hull goes on, if another block has the anchor
                 s = np.arange(SPAN)
                 left = ~marks & (s >= (at - hi)[:, None]) & (s <= (at - lo)[:, None]) & shared[take][:, None]
@@ -309,9 +310,13 @@ def repeated_spans(table: DataFrame, text_at: int, id_at: int) -> DataFrame:
                     size = last[i] - first[i] + WINDOW
                     yield _rows([(1, int(b), block, _pack(raw[ranges(first[i], size)], size.astype(np.int32), (at_[i] - first[i]).astype(np.uint8), ids[row_[i]], row_[i].astype(np.int32), first[i] - offsets[row_[i]]))])
 
-    found = checkpointed(table.select("block", "rows").join(replies, "block", "left").mapInArrow(local, "kind int, key long, block long, data binary"))
+    found = table.select("block", "rows").join(replies, "block", "left").mapInArrow(local, "kind int, key long, block long, data binary")
 
     def settle(rows: pa.Table) -> pa.Table:
+        settled = rows.filter(pc.equal(rows.column("kind"), 0)).select(["block", "data"]).rename_columns(["block", "spans"])
+        rows = rows.filter(pc.equal(rows.column("kind"), 1))
+        if not rows.num_rows:
+            return settled
         parts = [_unpack(x.as_py(), np.uint8, np.int32, np.uint8, np.int64, np.int32, np.int64) for x in rows.column("data")]
         block = np.repeat(rows.column("block").to_numpy(), [len(p[1]) for p in parts])
         raw, size, shift, ids, row, start = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -325,10 +330,10 @@ def repeated_spans(table: DataFrame, text_at: int, id_at: int) -> DataFrame:
         who, cut = np.unique(block[r], return_index=True)
         base = start[r] + shift[r]
         data = [_pack(row[r[a:b]], base[a:b] - s1[a:b], base[a:b] - s0[a:b] + WINDOW) for a, b in zip(cut, [*cut[1:], len(r)], strict=True)]
-        return pa.table({"block": pa.array(who, pa.int64()), "spans": pa.array(data, pa.binary())})
+        return pa.concat_tables([settled, pa.table({"block": pa.array(who, pa.int64()), "spans": pa.array(data, pa.binary())})])
 
-    over = found.where("kind = 1").select("key", "block", "data").groupBy("key").applyInArrow(settle, "block long, spans binary")
-    return over.union(found.where("kind = 0").select("block", "data"))
+    # spans that are settled go along, so that what is found is made once and needn't be kept
+    return found.groupBy("key").applyInArrow(settle, "block long, spans binary")
 
 
 def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
