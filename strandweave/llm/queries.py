@@ -7,9 +7,11 @@ from .packing import op8
 from .quality import op9
 from .simhash import op10
 from .suffixdedup import op2
+from .toxicity import op1
 from .transducer import op6
 
 QUERIES = {
+    "op1_convolutional_toxicity": op1,
     "op2_suffix_array_dedup": op2,
     "op5_fm_index_decontamination": op5,
     "op6_transducer_token_counts": op6,
