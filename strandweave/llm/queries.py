@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontam import op5
 from .packing import op8
+from .pagediff import op7
 from .quality import op9
 from .simhash import op10
 from .suffixdedup import op2
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_suffix_array_dedup": op2,
     "op5_fm_index_decontamination": op5,
     "op6_transducer_token_counts": op6,
+    "op7_page_differencing": op7,
     "op8_hilbert_packing": op8,
     "op9_additive_quality": op9,
     "op10_simhash_near_duplicates": op10,
