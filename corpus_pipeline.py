@@ -1,12 +1,73 @@
-"""Corpus pipeline: five stages, each written as Parquet and read again as the documents of the next."""
+"""Corpus pipeline: five stages, each written as Parquet and read again as the documents of the next.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept.  All but the last return the columns
+of documents; where a stage changes a text, n_chars follows it.  Documents without an id can't be told apart and are kept
+by the near-duplicate stage.  A document that a stage leaves nothing but white space of goes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandweave.llm import decontam, packing, quality, simhash, suffixdedup, warc
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the additive model scores at its threshold at least; it is fitted on labels outside the held-out fold."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.scored(docs, model, into="quality_score").where(F.col("quality_score") >= quality.THRESHOLD).drop("quality_score")
+
+
+def first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, the document with the smallest id."""
+    groups = suffixdedup.checkpointed(simhash.near_duplicates(docs).select("doc_id", "component_id"))
+    stay = groups.where("doc_id = component_id or doc_id is null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = docs.join(stay.select("doc_id").withColumnRenamed("doc_id", "stays"), F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    # rows that repeat an id are rare enough to look first
+    if stay.where("n > 1 and doc_id is not null").isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of 100-byte strings that start earlier, too."""
+    out = suffixdedup.without_repeats(docs, into="repeats")
+    changed = F.col("repeats.n_removed") > 0
+    out = out.where(~changed | (F.trim("repeats.text") != ""))
+    out = out.withColumn("text", F.when(changed, F.col("repeats.text")).otherwise(F.col("text")))
+    return out.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with passages of two benchmark items go; of the others, what occurs in an item is cut out."""
+    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), into="hits").where(F.size("hits.items") < 2)
+    out = decontam.without_spans(found, found="hits")
+    hit = F.col("hits.n_hit") > 0
+    out = out.where(~hit | (F.trim("text") != ""))
+    return out.withColumn("n_chars", F.when(hit, F.length("text")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences, packed along the curve."""
+    return packing.packed(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", good_quality),
+    ("SimHash near-dedup", first_of_near_duplicates),
+    ("suffix-array dedup", without_repeats),
+    ("benchmark decontamination", without_benchmarks),
+    ("packing", sequences),
+]
+#: SQL can't express the stages; tests hold each against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = warc.shared_folder(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

@@ -269,6 +269,28 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
+def without_spans(docs: DataFrame, text: str = "text", found: str = "contamination") -> DataFrame:
+    """docs of contamination() with the spans cut out of their texts; nulls stay null."""
+    names = docs.columns
+    at, spans_at = names.index(text), names.index(found)
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, f"c{at}"):
+                out = part.column(at).to_pylist()
+                for i, f in enumerate(part.column(spans_at).to_pylist()):
+                    if f and f["spans"]:
+                        raw, kept, to = out[i].encode(), [], 0
+                        for x, y in f["spans"]:
+                            kept.append(raw[to:x])
+                            to = y
+                        out[i] = b"".join([*kept, raw[to:]]).decode()
+                yield part.set_column(at, part.schema.field(at), pa.array(out, pa.string()))
+
+    return docs.mapInArrow(cut, docs.schema).toDF(*names)
+
+
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     c = F.col("contamination")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import op5
+from .media import op3
 from .packing import op8
 from .pagediff import op7
 from .quality import op9
@@ -10,10 +11,13 @@ from .simhash import op10
 from .suffixdedup import op2
 from .toxicity import op1
 from .transducer import op6
+from .warc import op4
 
 QUERIES = {
     "op1_convolutional_toxicity": op1,
     "op2_suffix_array_dedup": op2,
+    "op3_interleaved_media": op3,
+    "op4_warc_archives": op4,
     "op5_fm_index_decontamination": op5,
     "op6_transducer_token_counts": op6,
     "op7_page_differencing": op7,

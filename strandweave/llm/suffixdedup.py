@@ -342,11 +342,11 @@ def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
 
 
 #: What without_repeats() adds.
-ADDED = T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
+ADDED = T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("text", T.StringType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
 
 
 def without_repeats(docs: DataFrame, text: str = "text", id_: str = "doc_id", into: str = "repeats") -> DataFrame:
-    """docs with a struct column `into` added: kept bytes, n_bytes, n_removed, and the maximal removed spans [start, end)."""
+    """docs with a struct column `into` added: kept bytes, the same as text without broken characters, n_bytes, n_removed, and the maximal removed spans [start, end)."""
     tuned(docs.sparkSession)
     if into in docs.columns:
         raise ValueError(f"there is a column {into} already")
@@ -379,7 +379,7 @@ def without_repeats(docs: DataFrame, text: str = "text", id_: str = "doc_id", in
                     kept.append(raw[x:y].tobytes() if i == j else raw[x:y][keep[x:y]].tobytes())
                     n_removed.append(int((b[i:j] - a[i:j]).sum()))
                     lists.append([[int(u - x), int(v - x)] for u, v in zip(a[i:j], b[i:j], strict=True)])
-                added = pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(np.diff(offsets) - 1, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(lists, pa.list_(pa.list_(pa.int64())))], ["kept", "n_bytes", "n_removed", "spans"])
+                added = pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array([k.decode(errors="ignore") for k in kept], pa.string()), pa.array(np.diff(offsets) - 1, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(lists, pa.list_(pa.list_(pa.int64())))], ["kept", "text", "n_bytes", "n_removed", "spans"])
                 yield pa.RecordBatch.from_arrays([*held.columns, added], [*(f"c{i}" for i in range(held.num_columns)), "added"])
 
     return table.select("block", "rows").join(spans, "block", "left").mapInArrow(cut, schema).toDF(*docs.columns, into)
