@@ -41,8 +41,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with passages of two benchmark items go; of the others, what occurs in an item is cut out."""
-    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), into="hits").where(F.size("hits.items") < 2)
-    out = decontam.without_spans(found, found="hits")
+    out = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), into="hits", cut=True).where(F.size("hits.items") < 2)
     hit = F.col("hits.n_hit") > 0
     out = out.where(~hit | (F.trim("text") != ""))
     return out.withColumn("n_chars", F.when(hit, F.length("text")).otherwise(F.col("n_chars"))).select(docs.columns)

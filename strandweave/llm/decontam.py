@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import LOWER, U64, HashIndex, Rolling, flat, ranges, runs, slices, tuned
+from .textops import LOWER, U64, HashIndex, Rolling, flat, ranges, runs, slices, tidied, tuned
 
 #: Words of a phrase; bytes of test items in one pass; distance of sampled suffix positions.
 PHRASE, ITEM_BYTES, SAMPLE = 8, 16 << 20, 4
@@ -172,8 +172,11 @@ def occurrences(sequence: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.
     return np.repeat(who, high - low), place[index.locate(row)]
 
 
-def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", into: str = "contamination", phrase: int = PHRASE) -> DataFrame:
-    """docs with a struct added: n_words, n_hit (words in occurrences), merged byte spans [start, end) of hit words, and the items' ids, sorted as strings."""
+def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", into: str = "contamination", phrase: int = PHRASE, cut: bool = False) -> DataFrame:
+    """docs with a struct added: n_words, n_hit (words in occurrences), merged byte spans [start, end) of hit words, and the items' ids, sorted as strings.
+
+    cut: the spans are cut out of the texts by the last pass.
+    """
     tuned(docs.sparkSession)
     if into in docs.columns:
         raise ValueError(f"there is a column {into} already")
@@ -195,17 +198,18 @@ def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", item: s
         number = {x: i for i, x in enumerate(ids)}
         phrases.item = np.array([number[x] for x in phrases.ids], np.int64)[phrases.item] if rows else np.zeros(0, np.int64)
         phrases.ids = ids
-        out = out.mapInArrow(_searcher(phrases, at), schema)
+        out = out.mapInArrow(tidied(_searcher(phrases, at, cut and k == passes - 1)), schema)
     return out.toDF(*names, into)
 
 
-def _searcher(phrases: Phrases, at: int):
+def _searcher(phrases: Phrases, at: int, cut: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = HashIndex()
         known.add(phrases.vocabulary)
         for batch in batches:
             for part in slices(batch, f"c{at}"):
-                yield _searched(part, part.column(at), phrases, known)
+                found = _searched(part, part.column(at), phrases, known)
+                yield found.set_column(at, found.schema.field(at), _without(found.column(at), found.column(found.num_columns - 1))) if cut else found
 
     return search
 
@@ -259,6 +263,18 @@ def _searched(part: pa.RecordBatch, texts: pa.Array, phrases: Phrases, known: Ha
     return pa.RecordBatch.from_arrays([*part.columns[:-1], found], part.schema.names)
 
 
+def _without(texts: pa.Array, found: pa.Array) -> pa.Array:
+    out = texts.to_pylist()
+    for i, f in enumerate(found.to_pylist()):
+        if f["spans"]:
+            raw, kept, to = out[i].encode(), [], 0
+            for x, y in f["spans"]:
+                kept.append(raw[to:x])
+                to = y
+            out[i] = b"".join([*kept, raw[to:]]).decode()
+    return pa.array(out, pa.string())
+
+
 def _merged(spans: list[list[int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for x, y in sorted(spans):
@@ -269,28 +285,6 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def without_spans(docs: DataFrame, text: str = "text", found: str = "contamination") -> DataFrame:
-    """docs of contamination() with the spans cut out of their texts; nulls stay null."""
-    names = docs.columns
-    at, spans_at = names.index(text), names.index(found)
-    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, f"c{at}"):
-                out = part.column(at).to_pylist()
-                for i, f in enumerate(part.column(spans_at).to_pylist()):
-                    if f and f["spans"]:
-                        raw, kept, to = out[i].encode(), [], 0
-                        for x, y in f["spans"]:
-                            kept.append(raw[to:x])
-                            to = y
-                        out[i] = b"".join([*kept, raw[to:]]).decode()
-                yield part.set_column(at, part.schema.field(at), pa.array(out, pa.string()))
-
-    return docs.mapInArrow(cut, docs.schema).toDF(*names)
-
-
 def op5(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     c = F.col("contamination")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pagediff import BLOCKS, SILENT, TOKEN
-from .textops import checkpointed, slices, tuned
+from .textops import checkpointed, slices, tidied, tuned
 
 #: Bytes of an image row: 64 pixels of three samples.
 ROW = 192
@@ -158,7 +158,7 @@ def sequences(pages: DataFrame, html: str = "html", into: str = "items") -> Data
                 found = [[dict(zip(ITEM.names, i, strict=True)) for i in items(h)] for h in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(found, kind)], schema.names)
 
-    return pages.mapInArrow(read, schema).toDF(*names, into)
+    return pages.mapInArrow(tidied(read), schema).toDF(*names, into)
 
 
 def stored(payloads: Column, rows: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def stored(payloads: Column, rows: DataFrame) -> DataFrame:
                         media.append(encode(data))
                 yield pa.record_batch({"digest": pa.array(digests, pa.string()), "media": pa.array(media, pa.binary())})
 
-    made = rows.select(payloads.cast("binary").alias("payload")).mapInArrow(keep, "digest string, media binary")
+    made = rows.select(payloads.cast("binary").alias("payload")).mapInArrow(tidied(keep), "digest string, media binary")
     return made.groupBy("digest").agg(F.first("media").alias("media"))
 
 
@@ -203,7 +203,7 @@ def described(store: DataFrame) -> DataFrame:
                     kinds = [pa.int64() if x.endswith("long") else pa.string() for x in DESCRIBED.split(", ")]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return store.mapInArrow(read, DESCRIBED)
+    return store.mapInArrow(tidied(read), DESCRIBED)
 
 
 def resolved(documents: DataFrame, features: DataFrame, items_: str = "items", into: str = "media") -> DataFrame:

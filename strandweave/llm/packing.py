@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .suffixdedup import _pack, _unpack
-from .textops import U64, mix, slices, tuned
+from .textops import U64, mix, slices, tidied, tuned
 from .transducer import Encoded
 
 LENGTH, END_ID = 4096, 2
@@ -112,7 +112,7 @@ def packed(docs: DataFrame, text: str = "text", id_: str = "doc_id", tokenizer:
                 yield pa.record_batch({"key": curve_keys(h, bounds), "id": part.column("id").fill_null(_NONE)})
 
     sampled = docs.sample(min(1.0, SAMPLED / max(count, 1)), 5) if n_ranges > 1 else docs.limit(0)
-    points = np.array(sorted(tuple(r) for r in sampled.mapInArrow(keys, "key long, id long").collect()), np.int64).reshape(-1, 2)
+    points = np.array(sorted(tuple(r) for r in sampled.mapInArrow(tidied(keys), "key long, id long").collect()), np.int64).reshape(-1, 2)
     split = points[[len(points) * i // n_ranges for i in range(1, n_ranges)]] if len(points) else points
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +171,7 @@ def packed(docs: DataFrame, text: str = "text", id_: str = "doc_id", tokenizer:
         return pa.table(out | ({"ids": pa.array(blobs, pa.binary())} if with_ids else {}))
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return docs.mapInArrow(encode, "part long, data binary").groupBy("part").applyInArrow(pack, schema)
+    return docs.mapInArrow(tidied(encode), "part long, data binary").groupBy("part").applyInArrow(pack, schema)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

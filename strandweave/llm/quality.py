@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import held_out, labelled_sample
-from .textops import U64, Rolling, flat, mix, runs, segment_sums, slices, tuned
+from .textops import U64, Rolling, flat, mix, runs, segment_sums, slices, tidied, tuned
 
 #: Labelled documents in the sample, at most; folds of the hold-out; the decision threshold.
 SAMPLE, FOLDS, FOLD, THRESHOLD = 12_000, 5, 0, 0.3
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", most: int = SAMP
                 x = features(part.column("text"))
                 yield pa.record_batch({"label": part.column("label"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
-    rows = sorted((r.label, bytes(r.x)) for r in sample.mapInArrow(of, "label int, x binary").collect())
+    rows = sorted((r.label, bytes(r.x)) for r in sample.mapInArrow(tidied(of), "label int, x binary").collect())
     y = np.array([r[0] for r in rows], float)
     x = np.array([np.frombuffer(r[1]) for r in rows]).reshape(-1, len(FEATURES))
     # both labels fill half of a large sample: the base rate is put right afterwards
@@ -205,7 +205,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", into: str = "quali
             for part in slices(batch.rename_columns([f"c{i}" for i in range(batch.num_columns)]), f"c{at}"):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.score(features(part.column(at))))], schema.names)
 
-    return docs.mapInArrow(score, schema).toDF(*names, into)
+    return docs.mapInArrow(tidied(score), schema).toDF(*names, into)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .textops import LOWER, U64, checkpointed, flat, runs, slices, tuned
+from .textops import LOWER, U64, checkpointed, flat, runs, slices, tidied, tuned
 
 #: Fixed values of the fingerprint's definition.
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -202,7 +202,7 @@ def linked(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
             run = np.concatenate(([0], np.cumsum((c[1:] != c[:-1]) | (k[1:] != k[:-1]))))
             yield out(fp.view(U64), run)
 
-    return keyed.mapInArrow(compare, "a long, b long")
+    return keyed.mapInArrow(tidied(compare), "a long, b long")
 
 
 def fingerprint_table(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> DataFrame:
@@ -213,7 +213,7 @@ def fingerprint_table(docs: DataFrame, text: str = "text", id_: str = "doc_id")
             for part in slices(batch, "text"):
                 yield pa.record_batch([part.column("id"), pa.array(fingerprints(part.column("text")).view(np.int64))], ["id", "fp"])
 
-    return docs.select(docs[id_].cast("long").alias("id"), docs[text].cast("string").alias("text")).mapInArrow(prints, "id long, fp long")
+    return docs.select(docs[id_].cast("long").alias("id"), docs[text].cast("string").alias("text")).mapInArrow(tidied(prints), "id long, fp long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_: str = "doc_id", radius: int = RADIUS) -> DataFrame:

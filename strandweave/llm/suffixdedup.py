@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import U64, Rolling, checkpointed, flat, ranges, slices, tuned
+from .textops import U64, Rolling, checkpointed, flat, ranges, slices, tidied, tuned
 
 WINDOW, GRAM = 100, 32
 SPAN = WINDOW - GRAM + 1
@@ -228,7 +228,7 @@ def blocks(docs: DataFrame, text: str) -> DataFrame:
         if held:
             yield block()
 
-    return checkpointed(docs.mapInArrow(gather, "block long, n_bytes long, sample binary, rows binary"))
+    return checkpointed(docs.mapInArrow(tidied(gather), "block long, n_bytes long, sample binary, rows binary"))
 
 
 def repeated_spans(table: DataFrame, text_at: int, id_at: int) -> DataFrame:
@@ -261,7 +261,7 @@ def repeated_spans(table: DataFrame, text_at: int, id_at: int) -> DataFrame:
             out.append(_pack(x[hit], count[at[hit]] >= HOT_BLOCKS))
         return pa.table({"block": rows.column("block"), "common": pa.array(out, pa.binary())})
 
-    replies = table.select("block", "rows").mapInArrow(listed, "bucket long, block long, hashes binary").groupBy("bucket").applyInArrow(common, "block long, common binary")
+    replies = table.select("block", "rows").mapInArrow(tidied(listed), "bucket long, block long, hashes binary").groupBy("bucket").applyInArrow(common, "block long, common binary")
     replies = replies.groupBy("block").agg(F.collect_list("common").alias("common"))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +310,7 @@ def repeated_spans(table: DataFrame, text_at: int, id_at: int) -> DataFrame:
                     size = last[i] - first[i] + WINDOW
                     yield _rows([(1, int(b), block, _pack(raw[ranges(first[i], size)], size.astype(np.int32), (at_[i] - first[i]).astype(np.uint8), ids[row_[i]], row_[i].astype(np.int32), first[i] - offsets[row_[i]]))])
 
-    found = table.select("block", "rows").join(replies, "block", "left").mapInArrow(local, "kind int, key long, block long, data binary")
+    found = table.select("block", "rows").join(replies, "block", "left").mapInArrow(tidied(local), "kind int, key long, block long, data binary")
 
     def settle(rows: pa.Table) -> pa.Table:
         settled = rows.filter(pc.equal(rows.column("kind"), 0)).select(["block", "data"]).rename_columns(["block", "spans"])
@@ -382,7 +382,7 @@ def without_repeats(docs: DataFrame, text: str = "text", id_: str = "doc_id", in
                 added = pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array([k.decode(errors="ignore") for k in kept], pa.string()), pa.array(np.diff(offsets) - 1, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(lists, pa.list_(pa.list_(pa.int64())))], ["kept", "text", "n_bytes", "n_removed", "spans"])
                 yield pa.RecordBatch.from_arrays([*held.columns, added], [*(f"c{i}" for i in range(held.num_columns)), "added"])
 
-    return table.select("block", "rows").join(spans, "block", "left").mapInArrow(cut, schema).toDF(*docs.columns, into)
+    return table.select("block", "rows").join(spans, "block", "left").mapInArrow(tidied(cut), schema).toDF(*docs.columns, into)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,9 @@ windows and runs never cross documents.  A null text counts as an empty one.  A
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,10 @@ SLICE_BYTES = 1 << 22
 BATCH_BYTES = 8 << 20
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library has no such call
+    _LIBC = None
 
 
 def tuned(spark: SparkSession) -> SparkSession:
@@ -36,8 +42,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def text_column(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn(text, df[text].cast("string"))
+def release() -> None:
+    """Gives memory that isn't used any more back to the system, as an idle worker would hold it for the next stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def tidied(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for mapInArrow, with the worker's memory released at the end of each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -90,12 +112,17 @@ class Rolling:
     _inverse: np.ndarray = np.ones(1, U64)
     _values = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 
+    @classmethod
+    def tables(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """n powers of the base, at least, and their inverses."""
+        if len(cls._powers) < n:
+            cls._powers = _geometric(_BASE, n + 4096)
+            cls._inverse = _geometric(pow(_BASE, -1, 1 << 64), n + 4096)
+        return cls._powers, cls._inverse
+
     def __init__(self, raw: np.ndarray) -> None:
         n = len(raw) + 1
-        if len(Rolling._powers) < n:
-            size = max(n, SLICE_BYTES + 4096)
-            Rolling._powers = _geometric(_BASE, size)
-            Rolling._inverse = _geometric(pow(_BASE, -1, 1 << 64), size)
+        self.tables(n)
         self.sums = np.zeros(n, U64)
         np.cumsum(Rolling._values[raw] * Rolling._powers[: n - 1], out=self.sums[1:])
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .labelled import held_out, labelled_sample
-from .textops import LOWER, U64, Rolling, flat, mix, ranges, runs, slices, tuned
+from .textops import LOWER, U64, Rolling, flat, mix, ranges, runs, slices, tidied, tuned
 
 #: Labelled documents in the sample, at most; folds of the hold-out; the decision threshold of op1.
 SAMPLE, FOLDS, FOLD, THRESHOLD = 5000, 3, 1, 0.7
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str | None
                 rows, bounds = word_rows(part.column("text"))
                 yield pa.record_batch({"doc_id": part.column("doc_id"), "label": part.column("label"), "lang": part.column("lang"), "x": pa.array([rows[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())})
 
-    rows = sample.select(F.col("doc_id").cast("string").alias("doc_id"), "label", "lang", "text").mapInArrow(of, "doc_id string, label int, lang string, x binary").collect()
+    rows = sample.select(F.col("doc_id").cast("string").alias("doc_id"), "label", "lang", "text").mapInArrow(tidied(of), "doc_id string, label int, lang string, x binary").collect()
     rows = sorted((r.doc_id, r.label, r.lang or "", bytes(r.x)) for r in rows)
     counts = dict(labels.where(~held_out("doc_id", folds, fold) & F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect())
     positive = sum(r[1] for r in rows)
@@ -196,7 +196,7 @@ def scored(docs: DataFrame, classifier: Classifier, text: str = "text", into: st
                 value = model.score(*padded(*word_rows(part.column(at))))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value)], schema.names)
 
-    return docs.mapInArrow(score, schema).toDF(*names, into)
+    return docs.mapInArrow(tidied(score), schema).toDF(*names, into)
 
 
 def decisions(docs: DataFrame, classifier: Classifier, score: str = "toxicity", lang: str = "lang", into: str = "toxic") -> DataFrame:

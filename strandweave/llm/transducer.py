@@ -25,16 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import U64, HashIndex, flat, mix, ranges, slices, tuned
-from .textops import _BASE as BASE
-from .textops import _geometric as geometric
+from .textops import U64, HashIndex, Rolling, flat, mix, ranges, slices, tidied, tuned
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 TOP = 0x2E80
 CHUNK = 64
 #: A cache is dropped beyond this many pieces; that costs time, and changes no result.
-MOST_PIECES = 4_000_000
+MOST_PIECES = 800_000
 # Classes: space, letter, number, other, apostrophe with a contraction of one letter, of two, and unsafe characters.
 SPACE, LETTER, NUMBER, OTHER, SHORT, LONG, UNSAFE = range(7)
 # Unicode white space below TOP.
@@ -229,7 +227,7 @@ class Compiled:
             starts, ends = starts[keep], ends[keep]
             bounds = np.searchsorted(starts, ends_at)
         n = len(low)
-        power, inverse = _powers(n + 1)
+        power, inverse = Rolling.tables(n + 1)
         sums = np.zeros(n + 1, U64)
         np.cumsum(self.values[low] * power[:n], out=sums[1:])
         h = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64))
@@ -243,9 +241,10 @@ class Compiled:
             first = new[first]
             strings = [low[a:b].tobytes().decode("utf-32-le") for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
             if ids:
-                got = [e.ids for e in self.library.encode_batch(strings, add_special_tokens=False)]
+                # an encoding holds a lot besides its ids
+                got = [np.array(e.ids, np.int32) for i in range(0, len(strings), 4096) for e in self.library.encode_batch(strings[i : i + 4096], add_special_tokens=False)]
                 size = np.array([len(x) for x in got], np.int64)
-                self.ids = np.concatenate([self.ids, *(np.array(x, np.int32) for x in got)])
+                self.ids = np.concatenate([self.ids, *got])
                 self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(size)))
             else:
                 self.counts = np.concatenate((self.counts, np.array([self.emitted(x) for x in strings], np.int32)))
@@ -287,16 +286,6 @@ class Encoded(Compiled):
         return ids, cut, h, bounds
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        size = max(n, (1 << 22) + 4096)
-        _POWERS[:] = [geometric(BASE, size), geometric(pow(BASE, -1, 1 << 64), size)]
-    return _POWERS
-
-
 def _byte_symbols() -> list[str]:
     """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on, in order."""
     out, spare = [], 256
@@ -331,7 +320,7 @@ def token_counts(docs: DataFrame, text: str = "text", tokenizer: str = "word_bpe
                 counted = pa.StructArray.from_arrays([pa.array(np.diff(offsets) - 1, pa.int64()), pa.array(n, pa.int64())], ["n_bytes", "n_tokens"])
                 yield pa.RecordBatch.from_arrays([*part.columns, counted], schema.names)
 
-    return docs.mapInArrow(count, schema).toDF(*names, into)
+    return docs.mapInArrow(tidied(count), schema).toDF(*names, into)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
