@@ -1,6 +1,784 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, and the SQL for those that it can express.
+
+Whole numbers come out as BIGINT and doubles rounded to six places, in both.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..deploy import ship
+from ..functions import sequence
+from ..operators import balance, bins, community, contacts, graph, likelihood, masks, normalise, order_state, ordering, reports, subspace
+from . import proxies
+from .proxies import BINS, CONFIG, DNA, EXTENTS, PAIR_ORDER, READS, SEQUENCES, TIPS, sql, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+READ = (SEQUENCES, READS)
+EXT = (SEQUENCES, READS, BINS, EXTENTS)
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(ship(spark), sf_dir)
+            kinds = {"int": "long", "tinyint": "long", "smallint": "long"}
+            return df.select(*[F.col(f"`{c}`").cast(kinds[k]).alias(c) if k in kinds else F.round(f"`{c}`", 6).alias(c) if k == "double" else F.col(f"`{c}`") for c, k in df.dtypes])
+
+        QUERIES[f.__name__] = run
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return keep
+
+
+def _pairs(spark: SparkSession, d: str, config=CONFIG) -> DataFrame:
+    return contacts.classified(contacts.paired(contacts.informative(proxies.alignments(spark, d)), PAIR_ORDER), proxies.sequences(spark, d), config)
+
+
+def _contacts(spark: SparkSession, d: str) -> DataFrame:
+    return contacts.counted(_pairs(spark, d))
+
+
+def _tips(spark: SparkSession, d: str) -> DataFrame:
+    return contacts.counted_tips(_pairs(spark, d, TIPS))
+
+
+def _grouped(spark: SparkSession, d: str) -> DataFrame:
+    return bins.grouped_bins(proxies.sequences(spark, d), 20_000)
+
+
+def _extents(spark: SparkSession, d: str) -> DataFrame:
+    return contacts.counted_extents(_pairs(spark, d), _grouped(spark, d))
+
+
+def _mask(spark: SparkSession, d: str, least: int = 2) -> DataFrame:
+    seqs = proxies.sequences(spark, d)
+    return masks.acceptance(seqs, masks.max_off_diagonal(_contacts(spark, d), seqs), 120_000, least)
+
+
+SIGNAL = """
+signal AS (SELECT seqs.seq_id, coalesce(max(n), 0) AS signal FROM seqs LEFT JOIN (SELECT i AS s, n FROM contacts WHERE i <> j UNION ALL SELECT j, n FROM contacts WHERE i <> j) ON s = seq_id GROUP BY seqs.seq_id),
+mask AS (SELECT seqs.seq_id, length, signal, length >= 120000 AND signal >= 2 AS accepted FROM seqs JOIN signal USING (seq_id)),
+dense AS (SELECT seq_id, row_number() OVER (ORDER BY seq_id) - 1 AS dense_id FROM mask WHERE accepted)"""
+MASK = (*READ, SIGNAL)
+
+
+# -- sequences, sources and pairing ---------------------------------------------------------------------------------------------
+
+
+@query(sql(SEQUENCES, select='SELECT seq_id, CAST(ref_id AS BIGINT) AS ref_id, name, length, "offset", sites FROM seqs'))
+def sequence_table(spark, d):
+    return proxies.sequences(spark, d).select("seq_id", "ref_id", "name", "length", "offset", "sites")
+
+
+@query(sql(SEQUENCES, select="SELECT count(*) AS missing FROM refs WHERE length >= 1000 AND ref_id % 17 = 0"))
+def missing_references(spark, d):
+    kept = proxies.references(spark, d).where("length >= 1000").join(proxies.counted_fasta(spark, d), "name", "left_anti")
+    return kept.agg(F.count("*").alias("missing"))
+
+
+@query(sql(SEQUENCES, select="SELECT CAST(ref_id AS BIGINT) AS ref_id, seq_id FROM seqs"))
+def reverse_index(spark, d):
+    return contacts.reverse_index(proxies.sequences(spark, d))
+
+
+@query(sql(*READ, select="SELECT CAST(sum(CASE WHEN flag & 3332 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS informative, count(*) AS reads FROM aln"))
+def informative_reads(spark, d):
+    rows = proxies.alignments(spark, d)
+    return contacts.informative(rows).agg(F.count("*").alias("informative")).crossJoin(rows.agg(F.count("*").alias("reads")))
+
+
+@query(sql(*READ, select="SELECT q AS query_name, r1.ref_id::BIGINT AS first_ref, r2.ref_id::BIGINT AS second_ref, r1.five AS first_five, r2.five AS second_five FROM p"))
+def read_pairs(spark, d):
+    p = contacts.paired(contacts.informative(proxies.alignments(spark, d)), PAIR_ORDER)
+    swap = contacts.has_flag("a.flag", contacts.READ2)
+    p = p.select("query_name", F.when(swap, F.col("b")).otherwise(F.col("a")).alias("x"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("y"))
+    five = lambda r: contacts.five_prime(f"{r}.pos", f"{r}.alen", contacts.has_flag(f"{r}.flag", contacts.REVERSE))
+    return p.select("query_name", F.col("x.ref_id").alias("first_ref"), F.col("y.ref_id").alias("second_ref"), five("x").alias("first_five"), five("y").alias("second_five"))
+
+
+@query(sql(*READ, select="SELECT status, count(*) AS n FROM cls GROUP BY status"))
+def pair_status_counts(spark, d):
+    return contacts.status_counts(_pairs(spark, d))
+
+
+@query(sql(*READ, select="SELECT status, count(*) AS n FROM cls GROUP BY status", tip=40_000))
+def pair_status_counts_tips(spark, d):
+    return contacts.status_counts(_pairs(spark, d, TIPS))
+
+
+# -- counting -------------------------------------------------------------------------------------------------------------------
+
+
+@query(sql(*READ, select="SELECT i, j, n FROM contacts"))
+def contact_counts(spark, d):
+    return _contacts(spark, d)
+
+
+@query(sql(*READ, select="SELECT i, j, n FROM contacts UNION ALL SELECT j, i, n FROM contacts WHERE i <> j"))
+def contact_symmetric(spark, d):
+    return contacts.symmetric(_contacts(spark, d))
+
+
+@query(sql(*READ, select="SELECT CAST(sum(CASE WHEN i = j THEN n ELSE 2 * n END) AS BIGINT) AS weight FROM contacts"))
+def map_weight(spark, d):
+    return contacts.map_weight(_contacts(spark, d))
+
+
+@query(sql(*READ, select="SELECT i, j, CAST(2 * n AS BIGINT) AS n FROM contacts"))
+def append_map(spark, d):
+    one = _contacts(spark, d)
+    return contacts.added(one, one)
+
+
+TIP_CELLS = "tips AS (SELECT i, j, CAST(k AS BIGINT) AS k, CAST(l AS BIGINT) AS l, count(*) AS n FROM cls WHERE status = 'accepted' GROUP BY i, j, k, l)"
+
+
+@query(sql(*READ, TIP_CELLS, select="SELECT * FROM tips", tip=40_000))
+def tip_tensor(spark, d):
+    return _tips(spark, d)
+
+
+@query(sql(*READ, TIP_CELLS, select="SELECT i, j, k, l, CAST(sum(n) AS BIGINT) AS n FROM (SELECT i, j, k, l, n FROM tips UNION ALL SELECT j, i, l, k, n FROM tips WHERE i <> j) GROUP BY i, j, k, l", tip=40_000))
+def tip_symmetric(spark, d):
+    return contacts.symmetric_tips(_tips(spark, d))
+
+
+@query(sql(*READ, TIP_CELLS, select="SELECT j AS i, i AS j, l AS k, k AS l, n FROM tips", tip=40_000))
+def tip_flipped(spark, d):
+    return contacts.flipped(_tips(spark, d))
+
+
+@query(sql(*READ, TIP_CELLS, select="SELECT i, j, CAST(sum(n) AS BIGINT) AS n FROM tips GROUP BY i, j", tip=40_000))
+def marginalise(spark, d):
+    return subspace.marginalised(_tips(spark, d))
+
+
+@query(sql(*READ, TIP_CELLS, select="SELECT 2 * i + k AS i, 2 * j + l AS j, n FROM tips", tip=40_000))
+def flatten_tensor(spark, d):
+    return subspace.flattened(_tips(spark, d))
+
+
+@query(sql(SEQUENCES, BINS, select="SELECT seq_id, CAST(bin_no AS BIGINT) AS bin_no, CAST(bin_id AS BIGINT) AS bin_id, edges[bin_no + 1] AS lo, edges[bin_no + 2] AS hi, round(edges[bin_no + 1] + (edges[2] - edges[1]) / 2 - length / 2, 6) AS center FROM bins"))
+def bin_table(spark, d):
+    return bins.bin_table(_grouped(spark, d))
+
+
+@query(sql(SEQUENCES, BINS, select="SELECT seq_id, n_bins, first_bin, first_bin + n_bins AS end_bin FROM grouped"))
+def bin_borders(spark, d):
+    return _grouped(spark, d).select("seq_id", "n_bins", "first_bin", "end_bin")
+
+
+@query(sql(*EXT, select="SELECT CAST(bi AS BIGINT) AS bi, CAST(bj AS BIGINT) AS bj, n FROM ext"))
+def extent_counts(spark, d):
+    return _extents(spark, d)
+
+
+# -- masks ----------------------------------------------------------------------------------------------------------------------
+
+
+@query(sql(*MASK, select="SELECT seq_id, signal FROM signal"))
+def max_offdiag(spark, d):
+    return masks.max_off_diagonal(_contacts(spark, d), proxies.sequences(spark, d))
+
+
+@query(sql(*READ, TIP_CELLS, "c2 AS (SELECT i, j, sum(n) AS n FROM tips GROUP BY i, j)", select="SELECT seqs.seq_id, CAST(coalesce(max(n), 0) AS BIGINT) AS signal FROM seqs LEFT JOIN (SELECT i AS s, n FROM c2 WHERE i <> j UNION ALL SELECT j, n FROM c2 WHERE i <> j) ON s = seq_id GROUP BY seqs.seq_id", tip=40_000))
+def max_offdiag_tips(spark, d):
+    return masks.max_off_diagonal_tips(_tips(spark, d), proxies.sequences(spark, d))
+
+
+@query(sql(*MASK, select="SELECT seq_id, length, signal, accepted FROM mask"))
+def acceptance_mask(spark, d):
+    return _mask(spark, d)
+
+
+@query(sql(*MASK, select="SELECT seq_id, length, signal, accepted AND seq_id % 3 <> 0 AS accepted FROM mask"))
+def mask_intersection(spark, d):
+    mask = _mask(spark, d)
+    return masks.intersected(mask, mask.select("seq_id", (F.col("seq_id") % 3 != 0).alias("accepted")))
+
+
+@query(sql(*MASK, select="SELECT a.dense_id AS i, b.dense_id AS j, n FROM contacts JOIN dense AS a ON i = a.seq_id JOIN dense AS b ON j = b.seq_id"))
+def compress_dense_ids(spark, d):
+    return masks.compressed(_contacts(spark, d), masks.accepted_ids(_mask(spark, d)))
+
+
+@query(sql(*MASK, select="SELECT i, j, n FROM contacts WHERE i IN (SELECT seq_id FROM dense) AND j IN (SELECT seq_id FROM dense)"))
+def restrict_map(spark, d):
+    return masks.restricted(_contacts(spark, d), masks.accepted_ids(_mask(spark, d)))
+
+
+TIP_MASK = "keep AS (SELECT seq_id, row_number() OVER (ORDER BY seq_id) - 1 AS dense_id FROM seqs WHERE length >= 120000)"
+
+
+@query(sql(*READ, TIP_CELLS, TIP_MASK, select="SELECT a.dense_id AS i, b.dense_id AS j, k, l, n FROM tips JOIN keep AS a ON i = a.seq_id JOIN keep AS b ON j = b.seq_id", tip=40_000))
+def compress_tips(spark, d):
+    mask = proxies.sequences(spark, d).select("seq_id", (F.col("length") >= 120_000).alias("accepted"))
+    return masks.compressed(_tips(spark, d), masks.accepted_ids(mask)).select("i", "j", "k", "l", "n")
+
+
+@query(sql(*EXT, TIP_MASK, "db AS (SELECT bin_id, row_number() OVER (ORDER BY bin_id) - 1 AS dense_bin FROM bins WHERE seq_id IN (SELECT seq_id FROM keep))", select="SELECT a.dense_bin AS bi, b.dense_bin AS bj, n FROM ext JOIN db AS a ON bi = a.bin_id JOIN db AS b ON bj = b.bin_id"))
+def compress_extents(spark, d):
+    mask = proxies.sequences(spark, d).select("seq_id", (F.col("length") >= 120_000).alias("accepted"))
+    return masks.compressed_extents(_extents(spark, d), masks.dense_bins(_grouped(spark, d), masks.accepted_ids(mask)))
+
+
+@query(sql(*MASK, select="SELECT dense_id, seq_id FROM dense"))
+def gapless_ids(spark, d):
+    return masks.accepted_ids(_mask(spark, d)).select("dense_id", "seq_id")
+
+
+@query(sql(*READ, select="SELECT i, j, n FROM contacts WHERE i <> j"))
+def zero_diagonal(spark, d):
+    return masks.without_diagonal(_contacts(spark, d))
+
+
+# -- normalisation and balance ----------------------------------------------------------------------------------------------------
+
+
+@query(sql(*READ, select="SELECT i, j, round(n / (CAST(greatest(a.sites, 1) AS DOUBLE) * greatest(b.sites, 1)), 6) AS value FROM contacts JOIN seqs AS a ON i = a.seq_id JOIN seqs AS b ON j = b.seq_id"))
+def norm_by_sites(spark, d):
+    return normalise.by_sites(_contacts(spark, d), proxies.sequences(spark, d))
+
+
+def _by_length(name: str, formula: str) -> None:
+    def run(spark, d):
+        return normalise.by_length(_contacts(spark, d), proxies.sequences(spark, d), name)
+
+    run.__name__ = f"norm_by_length_{name}"
+    query(sql(*READ, select=f"SELECT i, j, round(n / (1e-3 * {formula}), 6) AS value FROM contacts JOIN (SELECT seq_id, CAST(length AS DOUBLE) AS x FROM seqs) AS a ON i = a.seq_id JOIN (SELECT seq_id, CAST(length AS DOUBLE) AS y FROM seqs) AS b ON j = b.seq_id"))(run)
+
+
+for _name, _formula in (("geometric", "sqrt(x * y)"), ("harmonic", "(2 * x * y / (x + y))"), ("arithmetic", "((x + y) / 2)")):
+    _by_length(_name, _formula)
+
+
+@query(sql(*READ, TIP_CELLS, select="SELECT i, j, k, l, round(n / (CAST(greatest(CASE k WHEN 0 THEN a.left_sites ELSE a.right_sites END, 1) AS DOUBLE) * greatest(CASE l WHEN 0 THEN b.left_sites ELSE b.right_sites END, 1)), 6) AS value FROM tips JOIN seqs AS a ON i = a.seq_id JOIN seqs AS b ON j = b.seq_id", tip=40_000))
+def norm_tips_by_sites(spark, d):
+    return normalise.tips_by_sites(_tips(spark, d), proxies.sequences(spark, d))
+
+
+@query(sql(*READ, TIP_CELLS, select="SELECT i, j, k, l, round(n * 14400000000.0::DOUBLE / (CAST(least(a.length, 120000) AS DOUBLE) * least(b.length, 120000)), 6) AS value FROM tips JOIN seqs AS a ON i = a.seq_id JOIN seqs AS b ON j = b.seq_id", tip=40_000))
+def norm_tips_by_length(spark, d):
+    return normalise.tips_by_length(_tips(spark, d), proxies.sequences(spark, d), 120_000)
+
+
+@query(sql(*EXT, select="SELECT CAST(bi AS BIGINT) AS bi, CAST(bj AS BIGINT) AS bj, round(n / (1e-3 * sqrt(CAST(a.length AS DOUBLE) * CAST(b.length AS DOUBLE))), 6) AS value FROM ext JOIN bins AS a ON bi = a.bin_id JOIN bins AS b ON bj = b.bin_id"))
+def norm_extents_by_length(spark, d):
+    return normalise.extents_by_length(_extents(spark, d), bins.bin_table(_grouped(spark, d)), proxies.sequences(spark, d))
+
+
+@query(sql(*READ, select="SELECT i, j, round(n * (i + 1.0::DOUBLE) * (j + 1.0::DOUBLE), 6) AS value FROM contacts"))
+def scale_map(spark, d):
+    scale = proxies.sequences(spark, d).select("seq_id", (F.col("seq_id") + 1.0).alias("x"))
+    return normalise.scaled(_contacts(spark, d).select("i", "j", F.col("n").cast("double").alias("value")), scale)
+
+
+def _nations(spark: SparkSession, d: str) -> DataFrame:
+    """A full matrix: orders' customer nation by item's supplier nation, upper triangle of m + m'."""
+    t = lambda n: table(spark, d, n)
+    rows = t("lineitem").select("l_orderkey", "l_suppkey").join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    rows = rows.join(t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey").join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
+    return rows.groupBy(F.least("c_nationkey", "s_nationkey").alias("i"), F.greatest("c_nationkey", "s_nationkey").alias("j")).agg(F.count("*").cast("double").alias("value"))
+
+
+NATIONS = """
+nat AS (SELECT least(c_nationkey, s_nationkey) AS i, greatest(c_nationkey, s_nationkey) AS j, CAST(count(*) AS DOUBLE) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+nid AS (SELECT DISTINCT unnest([i, j]) AS id FROM nat),
+nfull AS (SELECT i, j, value FROM nat UNION ALL SELECT j, i, value FROM nat WHERE i <> j)"""
+
+
+@query(sql(NATIONS, select="SELECT CAST(id AS BIGINT) AS seq_id, round(1.0::DOUBLE, 4) AS total FROM nid WHERE id IN (SELECT i FROM nat WHERE i = j)"))
+def balance_row_sums(spark, d):
+    rows = _nations(spark, d)
+    own = rows.where("i = j").select(F.col("i").alias("seq_id"))
+    full = contacts.symmetric(balance.balanced(rows, 1e-9)[0])
+    return full.groupBy(F.col("i").alias("seq_id")).agg(F.round(F.sum("value"), 4).alias("total")).join(own, "seq_id", "left_semi")
+
+
+@query(sql(NATIONS, select="SELECT CAST(id AS BIGINT) AS seq_id, round(1.0::DOUBLE, 4) AS total FROM nid WHERE id IN (SELECT i FROM nat WHERE i = j)"))
+def balance_row_sums_distributed(spark, d):
+    rows = _nations(spark, d)
+    own = rows.where("i = j").select(F.col("i").alias("seq_id"))
+    full = contacts.symmetric(balance.balanced(rows, 1e-5, dense_cells=0)[0])
+    return full.groupBy(F.col("i").alias("seq_id")).agg(F.round(F.sum("value"), 4).alias("total")).join(own, "seq_id", "left_semi")
+
+
+@query()
+def balance_scale(spark, d):
+    return balance.scale_factors(_nations(spark, d))
+
+
+# -- rearrangement ----------------------------------------------------------------------------------------------------------------
+
+
+@query(sql(*READ, "f AS (SELECT i, j, n FROM contacts UNION ALL SELECT j, i, n FROM contacts WHERE i <> j)", select="SELECT i // 4 AS i, j // 4 AS j, round(sum(n) / 16.0::DOUBLE, 6) AS value FROM f GROUP BY 1, 2"))
+def downsample_mean(spark, d):
+    return subspace.downsampled(contacts.symmetric(_contacts(spark, d)), 4, "mean")
+
+
+@query(sql(*READ, "f AS (SELECT i, j, n FROM contacts UNION ALL SELECT j, i, n FROM contacts WHERE i <> j)", select="SELECT i // 4 AS i, j // 4 AS j, CAST(max(n) AS DOUBLE) AS value FROM f GROUP BY 1, 2"))
+def downsample_max(spark, d):
+    return subspace.downsampled(contacts.symmetric(_contacts(spark, d)), 4, "max")
+
+
+@query(sql(*EXT, select="SELECT a.seq_id AS i, b.seq_id AS j, CAST(sum(n) AS BIGINT) AS n FROM ext JOIN bins AS a ON bi = a.bin_id JOIN bins AS b ON bj = b.bin_id GROUP BY 1, 2"))
+def extent_to_seq(spark, d):
+    return subspace.extents_to_sequences(_extents(spark, d), bins.bin_table(_grouped(spark, d)))
+
+
+LEGACY = "pairsum AS (SELECT a.seq_id AS i, b.seq_id AS j, sum(n) AS n, sum(CASE WHEN bi <> bj THEN n ELSE 0 END) AS twice FROM ext JOIN bins AS a ON bi = a.bin_id JOIN bins AS b ON bj = b.bin_id GROUP BY 1, 2)"
+
+
+@query(sql(*EXT, LEGACY, select="SELECT i, j, CAST(n AS BIGINT) AS n FROM pairsum WHERE i <> j UNION ALL SELECT s AS i, s AS j, CAST(sum(x) AS BIGINT) AS n FROM (SELECT i AS s, n + twice AS x FROM pairsum WHERE i = j UNION ALL SELECT j, n FROM pairsum WHERE i <> j) GROUP BY s"))
+def extent_to_seq_legacy(spark, d):
+    return subspace.extents_to_sequences(_extents(spark, d), bins.bin_table(_grouped(spark, d)), legacy=True)
+
+
+ORDERED = "ord AS (SELECT seq_id AS id, row_number() OVER (ORDER BY length DESC, seq_id) - 1 AS rank, CASE WHEN seq_id % 3 = 0 THEN -1 ELSE 1 END AS ori FROM seqs)"
+
+
+def _order(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.orderBy(F.desc("length"), "seq_id")
+    return proxies.sequences(spark, d).select("seq_id", (F.row_number().over(w) - 1).alias("rank"), F.when(F.col("seq_id") % 3 == 0, -1).otherwise(1).alias("ori"), "length")
+
+
+@query(sql(*READ, ORDERED, select="SELECT least(a.rank, b.rank) AS i, greatest(a.rank, b.rank) AS j, n FROM contacts JOIN ord AS a ON i = a.id JOIN ord AS b ON j = b.id"))
+def permute_map(spark, d):
+    return subspace.permuted(_contacts(spark, d), _order(spark, d).select(F.col("seq_id").alias("id"), "rank"), full=False)
+
+
+@query(sql(SEQUENCES, ORDERED, select="SELECT 2 * id + k AS id, 2 * rank + k AS rank FROM ord, unnest([0, 1]) AS u(k)"))
+def double_order(spark, d):
+    return subspace.doubled_order(_order(spark, d).select(F.col("seq_id").alias("id"), "rank"))
+
+
+BIN_ORDER = """ord AS (SELECT seq_id AS id, row_number() OVER (ORDER BY length DESC, seq_id) - 1 AS rank, CASE WHEN seq_id % 3 = 0 THEN -1 ELSE 1 END AS ori FROM seqs),
+base AS (SELECT g.*, ori, rank, coalesce(sum(n_bins) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM grouped AS g JOIN ord ON seq_id = id),
+bord AS (SELECT first_bin + k AS id, CAST(base + CASE WHEN ori < 0 THEN n_bins - 1 - k ELSE k END AS BIGINT) AS rank FROM base, unnest(range(0, n_bins)) AS u(k))"""
+
+
+@query(sql(SEQUENCES, BINS, BIN_ORDER, select="SELECT CAST(id AS BIGINT) AS id, rank FROM bord"))
+def bin_order(spark, d):
+    return subspace.bin_order(_grouped(spark, d), _order(spark, d).drop("length"))
+
+
+@query(sql(*EXT, BIN_ORDER, select="SELECT least(a.rank, b.rank) AS bi, greatest(a.rank, b.rank) AS bj, n FROM ext JOIN bord AS a ON bi = a.id JOIN bord AS b ON bj = b.id"))
+def permute_extents(spark, d):
+    return subspace.permuted(_extents(spark, d), subspace.bin_order(_grouped(spark, d), _order(spark, d).drop("length")), "bi", "bj", full=False)
+
+
+@query(sql(*READ, "f AS (SELECT i, j, n FROM contacts WHERE i <> j UNION ALL SELECT j, i, n FROM contacts WHERE i <> j)", select="SELECT i AS row, j AS col, round(ln(n * 100.0::DOUBLE + 1), 6) AS value FROM f"))
+def heatmap_table(spark, d):
+    return subspace.heatmap_table(contacts.symmetric(_contacts(spark, d)).withColumnRenamed("n", "value"))
+
+
+@query(sql(SEQUENCES, ORDERED, select="SELECT rank, CASE WHEN ori < 0 THEN '- ' ELSE '+ ' END || name AS label, rank AS location FROM ord JOIN seqs ON id = seq_id"))
+def tick_labels(spark, d):
+    return subspace.tick_labels(_order(spark, d).drop("length"), proxies.sequences(spark, d))
+
+
+# -- order state ------------------------------------------------------------------------------------------------------------------
+
+
+def _state(spark: SparkSession, d: str) -> DataFrame:
+    """Masked and put in the order of descending lengths."""
+    state = order_state.with_mask(order_state.initial(proxies.sequences(spark, d)), _mask(spark, d))
+    return order_state.with_order(state, _order(spark, d))
+
+
+STATE = "st AS (SELECT seq_id, row_number() OVER (ORDER BY NOT accepted, length DESC, seq_id) - 1 AS pos, CASE WHEN seq_id % 3 = 0 THEN -1 ELSE 1 END AS ori, accepted AS mask, length FROM mask)"
+
+
+@query(sql(*MASK, STATE, select="SELECT seq_id, pos, CAST(ori AS BIGINT) AS ori, mask, length FROM st"))
+def order_positions(spark, d):
+    return _state(spark, d)
+
+
+@query(sql(*MASK, STATE, select="SELECT row_number() OVER (ORDER BY seq_id) - 1 AS dense_id, pos, CAST(ori AS BIGINT) AS ori FROM st WHERE mask"))
+def gapless_positions(spark, d):
+    return order_state.gapless_positions(_state(spark, d))
+
+
+@query(sql(*MASK, STATE, select="SELECT seq_id, pos AS rank, CAST(ori AS BIGINT) AS ori FROM st WHERE mask"))
+def accepted_order(spark, d):
+    return order_state.accepted_order(_state(spark, d))
+
+
+@query(sql(*MASK, STATE, select="SELECT count(*) FILTER (WHERE mask) AS accepted, count(*) FILTER (WHERE NOT mask) AS excluded FROM st"))
+def accepted_counts(spark, d):
+    return order_state.counts(_state(spark, d))
+
+
+@query(sql(*MASK, STATE, select="SELECT a.seq_id AS a, b.seq_id AS b, CAST(coalesce((SELECT sum(c.length) FROM st AS c WHERE c.pos > least(a.pos, b.pos) AND c.pos < greatest(a.pos, b.pos)), 0) AS BIGINT) AS between_length FROM st AS a JOIN st AS b ON b.seq_id = a.seq_id + 5"))
+def intervening_length(spark, d):
+    state = _state(spark, d)
+    ids = state.select(F.col("seq_id").alias("a"), (F.col("seq_id") + 5).alias("b"))
+    return order_state.intervening(state, ids)
+
+
+@query(sql(*MASK, STATE, select="SELECT seq_id, pos, CAST(CASE WHEN seq_id = 3 THEN -ori ELSE ori END AS BIGINT) AS ori, mask, length FROM st"))
+def flip_sequence(spark, d):
+    return order_state.flipped(_state(spark, d), 3)
+
+
+@query()
+def shuffled_order(spark, d):
+    return order_state.shuffled(_state(spark, d), 7)
+
+
+# -- sequences' content -------------------------------------------------------------------------------------------------------------
+
+
+@query(sql(DNA, select="SELECT id, CAST((length(seq) - length(replace(seq, 'GATC', ''))) // 4 + (length(seq) - length(replace(seq, 'AAGCTT', ''))) // 6 AS BIGINT) AS sites FROM dna"))
+def site_counts(spark, d):
+    return proxies.dna(spark, d).select("id", sequence.count_sites("seq", ["MboI", "HindIII"]).alias("sites"))
+
+
+TIP_SITES = """ends AS (SELECT id, CASE WHEN length(seq) < 1000 THEN left(seq, length(seq) // 2) ELSE left(seq, 500) END AS a, CASE WHEN length(seq) < 1000 THEN substr(seq, length(seq) // 2 + 1) ELSE right(seq, 500) END AS b FROM dna)"""
+
+
+@query(sql(DNA, TIP_SITES, select="SELECT id, CAST((length(a) - length(replace(a, 'GATC', ''))) // 4 AS BIGINT) AS left_sites, CAST((length(b) - length(replace(b, 'GATC', ''))) // 4 AS BIGINT) AS right_sites FROM ends"))
+def tip_site_counts(spark, d):
+    rows = proxies.dna(spark, d).select("id", sequence.tip_sites("seq", ["DpnII"], 500).alias("s"))
+    return rows.select("id", F.col("s")[0].alias("left_sites"), F.col("s")[1].alias("right_sites"))
+
+
+@query(sql(DNA, select="SELECT id, round(CASE WHEN length(seq) = 0 THEN 0.0 ELSE (length(seq) - length(regexp_replace(seq, '[GCSgcs]', '', 'g'))) * 100.0::DOUBLE / length(seq) END, 6) AS gc FROM dna"))
+def gc_content(spark, d):
+    return proxies.dna(spark, d).select("id", sequence.gc_percent("seq").alias("gc"))
+
+
+@query(sql(DNA, select="SELECT id, reverse(translate(seq, 'ACGT', 'TGCA')) AS seq FROM dna"))
+def reverse_complement(spark, d):
+    return proxies.dna(spark, d).select("id", sequence.reverse_complement("seq").alias("seq"))
+
+
+def _split(name: str, quotient: str, legacy: bool) -> None:
+    def run(spark, d):
+        return sequence.split_sequences(proxies.dna(spark, d), 400, 0.333, legacy).select("id", "piece_no", "piece_id", "piece_seq")
+
+    run.__name__ = name
+    query(sql(DNA, f"cut AS (SELECT id, seq, CAST(greatest(1, floor({quotient} + 0.333)) AS BIGINT) AS n, length(seq) AS len FROM dna)", "piece AS (SELECT id, seq, u.k AS k, CAST(floor(u.k * (CAST(len AS DOUBLE) / n)) AS BIGINT) AS lo, CASE WHEN u.k = n - 1 THEN len ELSE CAST(floor((u.k + 1) * (CAST(len AS DOUBLE) / n)) AS BIGINT) END AS hi FROM cut, unnest(range(0, n)) AS u(k))", select="SELECT id, CAST(k AS BIGINT) AS piece_no, id || '.' || lo || '_' || hi AS piece_id, substr(seq, lo + 1, hi - lo) AS piece_seq FROM piece"))(run)
+
+
+_split("split_sequences", "CAST(length(seq) AS DOUBLE) / 400.0::DOUBLE", False)
+_split("split_sequences_legacy", "length(seq) // 400", True)
+
+
+@query(sql(DNA, select="SELECT count(*) AS n, round(avg(length(seq)), 6) AS mean, CAST(max(length(seq)) AS BIGINT) AS longest FROM dna"))
+def split_totals(spark, d):
+    return sequence.split_totals(proxies.dna(spark, d))
+
+
+@query("SELECT doc_id, round((doc_id % 100) + 0.5::DOUBLE, 6) AS spades, round((doc_id % 90 + 1) + 0.25::DOUBLE, 6) AS megahit FROM documents")
+def coverage_extract(spark, d):
+    rows = table(spark, d, "documents")
+    name = F.concat(F.lit("NODE_"), "doc_id", F.lit("_length_"), "n_chars", F.lit("_cov_"), F.col("doc_id") % 100, F.lit(".5"))
+    text = F.concat(F.lit("k141_"), "doc_id", F.lit(" flag=1 multi="), F.col("doc_id") % 90 + 1, F.lit(".2500 len=77"))
+    return rows.select("doc_id", sequence.spades_coverage(name).alias("spades"), sequence.megahit_coverage(text).alias("megahit"))
+
+
+# -- clusters and reports -------------------------------------------------------------------------------------------------------------
+
+
+def _members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    seqs = proxies.sequences(spark, d)
+    rows = seqs.where("seq_id % 11 <> 0").select((F.col("seq_id") % 7).cast("int").alias("cl_id"), "seq_id")
+    return reports.ranked_clusters(rows, seqs)
+
+
+CLUSTERS = """
+raw AS (SELECT seq_id % 7 AS c, seq_id, length, name FROM seqs WHERE seq_id % 11 <> 0),
+ranked AS (SELECT c, row_number() OVER (ORDER BY sum(length) DESC, c) - 1 AS cl_id, CAST(sum(length) AS BIGINT) AS extent, count(*) AS size FROM raw GROUP BY c),
+clusters AS (SELECT cl_id, extent, size, 'CL' || lpad(CAST(cl_id + 1 AS VARCHAR), greatest(CAST(greatest(1, ceil(log10((SELECT max(cl_id) FROM ranked) + 1))) AS INT), CAST(length(CAST(cl_id + 1 AS VARCHAR)) AS INT)), '0') AS name FROM ranked),
+members AS (SELECT cl_id, seq_id, length, raw.name AS contig FROM raw JOIN ranked USING (c))"""
+CLUSTERED = (SEQUENCES, CLUSTERS)
+
+
+@query(sql(*CLUSTERED, select="SELECT cl_id, extent, size, name FROM clusters"))
+def cluster_names(spark, d):
+    return _members(spark, d)[0]
+
+
+@query(sql(*CLUSTERED, select="SELECT cl_id, seq_id FROM members"))
+def cluster_members(spark, d):
+    return _members(spark, d)[1]
+
+
+REPORT = """
+clip AS (SELECT doc_id % 13 AS cl_id, doc_id AS seq_id, CAST(n_chars AS BIGINT) AS length, CASE WHEN length(seq) = 0 THEN 0.0 ELSE (length(seq) - length(regexp_replace(seq, '[GCSgcs]', '', 'g'))) * 100.0::DOUBLE / length(seq) END AS gc, (doc_id % 90 + 1) + 0.25::DOUBLE AS cov FROM documents JOIN dna USING (doc_id)),
+run AS (SELECT cl_id, length, sum(length) OVER (PARTITION BY cl_id ORDER BY length DESC ROWS UNBOUNDED PRECEDING) AS run, sum(length) OVER (PARTITION BY cl_id) AS total FROM clip)"""
+
+
+def _reported(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.col("doc_id").cast("string").alias("name"), F.col("n_chars").cast("long").alias("length"))
+    members = docs.select((F.col("seq_id") % 13).cast("int").alias("cl_id"), "seq_id")
+    report = reports.member_report(members, docs, proxies.dna(spark, d), sequence.megahit_coverage, "description")
+    clusters = members.join(docs, "seq_id").groupBy("cl_id").agg(F.sum("length").alias("extent"), F.count("*").alias("size"))
+    return report, reports.named(clusters)
+
+
+@query(sql(DNA, REPORT, select="SELECT cl_id, seq_id, length, round(gc, 6) AS gc, round(cov, 6) AS cov FROM clip"))
+def member_report(spark, d):
+    return _reported(spark, d)[0]
+
+
+@query(sql(DNA, REPORT, "n50 AS (SELECT cl_id, max(length) AS n50 FROM run WHERE run > total // 2 GROUP BY cl_id)", select="SELECT cl_id AS id, 'CL' || lpad(CAST(cl_id + 1 AS VARCHAR), 2, '0') AS name, count(*) AS size, CAST(sum(length) AS BIGINT) AS extent, any_value(n50) AS n50, round(sum(length * gc) / sum(length), 6) AS gc_expect, round(avg(gc), 6) AS gc_mean, round(median(gc), 6) AS gc_median, round(stddev_pop(gc), 6) AS gc_std, round(sum(length * cov) / sum(length), 6) AS cov_expect, round(avg(cov), 6) AS cov_mean, round(median(cov), 6) AS cov_median, round(stddev_pop(cov), 6) AS cov_std FROM clip JOIN n50 USING (cl_id) GROUP BY cl_id"))
+def cluster_report(spark, d):
+    return reports.cluster_report(*_reported(spark, d))
+
+
+@query(sql(*CLUSTERED, select="SELECT cl_id, string_agg(contig, ' ' ORDER BY seq_id) AS line FROM members GROUP BY cl_id UNION ALL SELECT NULL, name FROM seqs WHERE seq_id % 11 = 0"))
+def mcl_lines(spark, d):
+    return reports.mcl_lines(_members(spark, d)[1], proxies.sequences(spark, d))
+
+
+@query(sql(*CLUSTERED, select="SELECT seq_id, name FROM seqs WHERE seq_id NOT IN (SELECT seq_id FROM members)"))
+def lost_sequences(spark, d):
+    return reports.lost_sequences(proxies.sequences(spark, d), _members(spark, d)[1]).select("seq_id", "name")
+
+
+@query(sql(*CLUSTERED, select="SELECT cl_id, row_number() OVER (PARTITION BY cl_id ORDER BY seq_id) AS n, seq_id FROM members"))
+def member_numbers(spark, d):
+    return reports.numbered_members(_members(spark, d)[1]).drop("ori")
+
+
+@query(sql(*CLUSTERED, select="SELECT cl_id, size, CAST(sum(size) OVER (ORDER BY cl_id) AS BIGINT) AS \"end\" FROM clusters"))
+def cluster_boundaries(spark, d):
+    return subspace.cluster_boundaries(_members(spark, d)[1])
+
+
+ENABLED = """
+corder AS (SELECT cl_id, seq_id, row_number() OVER (PARTITION BY cl_id ORDER BY length DESC, seq_id) - 1 AS rank, CASE WHEN seq_id % 2 = 0 THEN -1 ELSE 1 END AS ori FROM members WHERE cl_id <> 2),
+chosen AS (SELECT * FROM corder WHERE cl_id IN (SELECT cl_id FROM clusters WHERE extent >= 100000)),
+numbered AS (SELECT *, row_number() OVER (ORDER BY cl_id, rank) AS spot FROM chosen)"""
+
+
+@query(sql(*CLUSTERED, ENABLED, select="SELECT seqs.seq_id, row_number() OVER (ORDER BY spot IS NULL, spot, seqs.seq_id) - 1 AS pos, CAST(coalesce(ori, 1) AS BIGINT) AS ori, spot IS NOT NULL AS mask, length FROM seqs LEFT JOIN numbered USING (seq_id)"))
+def enabled_clusters(spark, d):
+    seqs = proxies.sequences(spark, d)
+    clusters, members = _members(spark, d)
+    w = Window.partitionBy("cl_id").orderBy(F.desc("length"), "seq_id")
+    order = members.join(seqs.select("seq_id", "length"), "seq_id").where("cl_id <> 2").select("cl_id", "seq_id", (F.row_number().over(w) - 1).alias("rank"), F.when(F.col("seq_id") % 2 == 0, -1).otherwise(1).alias("ori"))
+    return reports.enabled_clusters(order_state.initial(seqs), clusters, order, members, min_extent=100_000)
+
+
+# -- graphs -----------------------------------------------------------------------------------------------------------------------------
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.edge_graph(_nations(spark, d))
+
+
+def _sparse(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbouring users in time as edges."""
+    rows = table(spark, d, "events")
+    w = Window.partitionBy(F.col("user_id") % 16).orderBy("ts", "event_id")
+    rows = rows.select(F.col("user_id").alias("a"), F.lead("user_id").over(w).alias("b")).where("b is not null")
+    return rows.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+
+
+SPARSE = """
+step AS (SELECT user_id AS a, lead(user_id) OVER (PARTITION BY user_id % 16 ORDER BY ts, event_id) AS b FROM events),
+sp AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, CAST(count(*) AS DOUBLE) AS weight FROM step WHERE b IS NOT NULL GROUP BY 1, 2),
+ends AS (SELECT src AS u, dst AS v, weight FROM sp UNION ALL SELECT dst, src, weight FROM sp WHERE src <> dst),
+near AS (SELECT u, v FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY weight DESC, v) AS rn FROM ends) WHERE rn <= 4),
+part AS (SELECT DISTINCT u AS node, u % 5 AS cl_id FROM ends)"""
+
+
+def _parts(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("cl_id", F.col("node") % 5)
+
+
+@query(sql(NATIONS, select="SELECT CAST(i AS BIGINT) AS src, CAST(j AS BIGINT) AS dst, round(value / (SELECT max(value) FROM nat), 6) AS weight FROM nat"))
+def edge_graph(spark, d):
+    return _edges(spark, d)
+
+
+@query(sql(NATIONS, select="SELECT a.n_name AS src, b.n_name AS dst, round(value, 6) AS weight FROM nat JOIN nation AS a ON i = a.n_nationkey JOIN nation AS b ON j = b.n_nationkey"))
+def named_edges(spark, d):
+    names = table(spark, d, "nation").select(F.col("n_nationkey").alias("seq_id"), F.col("n_name").alias("name"))
+    return graph.named_edges(graph.edge_graph(_nations(spark, d), scale=False), names)
+
+
+@query(sql(SPARSE, select="SELECT count(DISTINCT u) AS nodes, (SELECT count(*) FROM sp) AS edges FROM ends"))
+def graph_info(spark, d):
+    return graph.graph_info(_sparse(spark, d))
+
+
+@query(sql(SPARSE, select="SELECT src, dst, round(1 / (weight + 1), 6) AS weight FROM sp"))
+def inverse_edge_weights(spark, d):
+    return graph.inverted_weights(_sparse(spark, d))
+
+
+@query(sql(SPARSE, select="SELECT src % 5 AS cl_id, src, dst, weight FROM sp WHERE src % 5 = dst % 5"))
+def subgraph_edges(spark, d):
+    edges = _sparse(spark, d)
+    return graph.subgraphs(edges, _parts(edges))
+
+
+@query(sql(SPARSE, select="SELECT least(src % 5, dst % 5) AS p, greatest(src % 5, dst % 5) AS q, round(avg(weight), 6) AS weight FROM sp WHERE src % 5 <> dst % 5 GROUP BY 1, 2"))
+def inter_partition_weights(spark, d):
+    edges = _sparse(spark, d)
+    return graph.inter_partition_weights(edges, _parts(edges))
+
+
+@query(sql(SPARSE, select="SELECT node, cl_id, 1.0::DOUBLE AS membership FROM part UNION ALL SELECT DISTINCT u, v % 5, 0.5::DOUBLE FROM ends WHERE u % 5 <> v % 5"))
+def soft_membership(spark, d):
+    edges = _sparse(spark, d)
+    return graph.soft_membership(edges, _parts(edges), "simple")
+
+
+@query(sql(SPARSE, select="SELECT node, cl_id, 1.0::DOUBLE AS membership FROM part UNION ALL SELECT DISTINCT u, v % 5, 0.5::DOUBLE FROM ends AS e WHERE u % 5 <> v % 5 AND weight = (SELECT max(weight) FROM ends AS x WHERE x.u = e.u)"))
+def soft_membership_maxaff(spark, d):
+    edges = _sparse(spark, d)
+    return graph.soft_membership(edges, _parts(edges), "maxaff")
+
+
+@query(sql(SPARSE, select="SELECT u, v FROM near"))
+def topk_neighbours(spark, d):
+    return graph.nearest(_sparse(spark, d), 3)
+
+
+@query(sql(SPARSE, select="SELECT u, v FROM near UNION SELECT a.u, b.v FROM near AS a JOIN near AS b ON a.v = b.u"))
+def local_neighbour_sets(spark, d):
+    return graph.local_sets(_sparse(spark, d), 3, 2)
+
+
+@query(sql(SPARSE, "sets AS (SELECT u, v FROM near UNION SELECT a.u, b.v FROM near AS a JOIN near AS b ON a.v = b.u)", "node AS (SELECT node, node * 17 % 1000 + 10 AS length, CAST(node * 13 % 37 + 1 AS DOUBLE) AS coverage FROM part)", "loc AS (SELECT u, exp(avg(ln(coverage))) AS local FROM sets JOIN node ON v = node GROUP BY u)", select="SELECT node, length, coverage, round(local, 6) AS local, round(coverage / local, 6) AS fold, coverage / local > 1.5 AS degenerate FROM node JOIN loc ON u = node WHERE length >= 100"))
+def degenerates(spark, d):
+    edges = _sparse(spark, d)
+    nodes = _parts(edges).select("node", (F.col("node") * 17 % 1000 + 10).alias("length"), (F.col("node") * 13 % 37 + 1).cast("double").alias("coverage"))
+    return graph.degenerates(edges, nodes, 1.5, 100, n=3, k=2)
+
+
+@query(sql(SPARSE, "heavy AS (SELECT * FROM sp WHERE src % 3 = 0 AND src <> dst)", "touched AS (SELECT unnest([src, dst]) AS n FROM heavy)", select="SELECT node, CASE WHEN node IN (SELECT n FROM touched) THEN cl_id ELSE (SELECT max(cl_id) + 1 FROM part WHERE node IN (SELECT n FROM touched)) END AS cl_id FROM part"))
+def ragbag(spark, d):
+    edges = _sparse(spark, d)
+    parts = _parts(edges)
+    return graph.with_isolates(parts, parts.select(F.col("node").alias("u")), edges.where("src % 3 = 0"), "ragbag")
+
+
+@query(sql(SPARSE, "e AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) AS n FROM sp)", select="SELECT node FROM (SELECT unnest([src, dst]) AS node FROM e) GROUP BY node"))
+def ordered_nodes(spark, d):
+    rows = _sparse(spark, d).withColumn("n", F.row_number().over(Window.orderBy("src", "dst")))
+    return graph.ordered_nodes(rows, "n")
+
+
+
+
+@query(sql("RECURSIVE " + SPARSE.strip(), "e AS (SELECT DISTINCT u, v FROM ends)", "reach AS (SELECT DISTINCT u AS node, u AS r FROM e UNION SELECT e.v, reach.r FROM reach JOIN e ON e.u = reach.node)", select="SELECT node, min(r) AS component FROM reach GROUP BY node"))
+def connected_components(spark, d):
+    return graph.connected(_sparse(spark, d))
+
+
+# -- communities, orders and likelihood (objectives are tested; results have no SQL) ----------------------------------------------------
+
+
+@query()
+def louvain(spark, d):
+    return community.louvain(_sparse(spark, d))
+
+
+@query()
+def louvain_fine(spark, d):
+    return community.clustered(_sparse(spark, d), "slm")
+
+
+@query()
+def map_equation(spark, d):
+    return community.map_equation(_sparse(spark, d), trials=2)
+
+
+@query()
+def markov_clusters(spark, d):
+    return community.markov(_edges(spark, d))
+
+
+def _distance_cells(spark: SparkSession, d: str, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """A distance of each ordered pair of nations."""
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(np.concatenate((part["i"], part["j"])))
+        m = np.zeros((len(ids), len(ids)))
+        a, b = np.searchsorted(ids, part["i"]), np.searchsorted(ids, part["j"])
+        m[a, b] = m[b, a] = part["value"]
+        out = f(m)
+        i, j = np.indices(out.shape)
+        return pd.DataFrame({"i": ids[i.ravel()], "j": ids[j.ravel()], "distance": out.ravel()})
+
+    return _nations(spark, d).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda part: one(part), "i long, j long, distance double")
+
+
+GRID = "grid AS (SELECT a.id AS i, b.id AS j, CASE WHEN a.id = b.id THEN 0.0 ELSE coalesce(value, 0.0) END AS s FROM nid AS a CROSS JOIN nid AS b LEFT JOIN nfull ON nfull.i = a.id AND nfull.j = b.id)"
+
+
+def _distance(method: str, seen: str, unseen: str) -> None:
+    def run(spark, d):
+        return _distance_cells(spark, d, lambda m: ordering.similarity_distance(m, method, 1.2, 1)).select("i", "j", F.round("distance", 2).alias("distance"))
+
+    run.__name__ = f"distance_{method}"
+    far = f"far AS (SELECT i, j, s, CASE WHEN s > 0 THEN {seen} ELSE {unseen} END AS y FROM grid)"
+    worst = "worst AS (SELECT i, j, CASE WHEN s > 0 THEN y ELSE 1.2::DOUBLE * (SELECT max(y) FROM far) END AS y FROM far)"
+    query(sql(NATIONS, GRID, far, worst, select="SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(1 + (y - (SELECT min(y) FROM worst)) / ((SELECT max(y) FROM worst) - (SELECT min(y) FROM worst)) * (2147483647 / 2.0::DOUBLE / (SELECT count(*) FROM nid) - 1), 2) AS distance FROM worst"))(run)
+
+
+for _name, _seen, _unseen in (("inverse", "1 / s", "0"), ("linear", "1 - s / (SELECT max(s) FROM grid)", "1"), ("neglog", "-ln(s / (SELECT max(s) FROM grid))", "0")):
+    _distance(_name, _seen, _unseen)
+
+
+@query(sql(NATIONS, GRID, select="SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(CASE WHEN i = j THEN 0 ELSE 1.01::DOUBLE * (SELECT max(s) + 0.1 FROM grid) / (s + 0.1) END, 6) AS distance FROM grid"))
+def reciprocal_distance(spark, d):
+    return _distance_cells(spark, d, ordering.reciprocal_distance)
+
+
+def _regions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").select(F.col("n_regionkey").alias("cl_id"), F.col("n_nationkey").alias("seq_id"))
+
+
+@query()
+def tour_order(spark, d):
+    return ordering.ordered_clusters(_nations(spark, d), _regions(spark, d))
+
+
+@query()
+def tour_order_tips(spark, d):
+    tips = _tips(spark, d).withColumn("value", F.col("n").cast("double")).drop("n")
+    members = proxies.sequences(spark, d).select((F.col("seq_id") % 12).cast("int").alias("cl_id"), "seq_id")
+    return ordering.ordered_clusters(tips, members, runs=1, tips=True)
+
+
+@query()
+def hierarchical_order(spark, d):
+    return ordering.hierarchical_order(_edges(spark, d).where("src <> dst"))
+
+
+@query()
+def graphical_order(spark, d):
+    return ordering.graphical_order(_edges(spark, d))
+
+
+LIKELY = """
+base AS (SELECT grouped.*, CAST(coalesce(sum(length) OVER (ORDER BY seq_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS p FROM grouped WHERE seq_id < 40),
+cb AS (SELECT seq_id, length, p, first_bin + u.k AS bin_id, edges[u.k + 1] + (edges[2] - edges[1]) / 2.0::DOUBLE - length / 2.0::DOUBLE AS center FROM base, unnest(range(0, n_bins)) AS u(k)),
+total AS (SELECT CAST(sum(CASE WHEN i = j THEN n ELSE 2 * n END) AS DOUBLE) AS t FROM contacts),
+cell AS (SELECT a.bin_id AS bi, b.bin_id AS bj, (b.p - a.p - a.length) + (a.length + b.length) / 2.0::DOUBLE + b.center - a.center AS d FROM cb AS a JOIN cb AS b ON a.seq_id < b.seq_id),
+ex AS (SELECT coalesce(n, 0) AS n, t * CASE WHEN d < 500000 THEN 0.122123774414444 / 13.675170758388262 * pow(1 + (d - 13.973247315647466) / 13.675170758388262, -0.122123774414444 - 1) ELSE 2e-8 END AS q FROM cell CROSS JOIN total LEFT JOIN ext ON ext.bi = cell.bi AND ext.bj = cell.bj)"""
+
+
+@query(sql(*EXT, LIKELY, select="SELECT round(-sum(CASE WHEN n > 0 THEN n * ln(n / q) + q - n + 0.5 * ln(2 * pi() * n) ELSE q END), 3) AS log_likelihood FROM ex"))
+def log_likelihood(spark, d):
+    seqs = proxies.sequences(spark, d).where("seq_id < 40")
+    grouped = _grouped(spark, d)
+    out = likelihood.log_likelihood(_extents(spark, d), _contacts(spark, d), order_state.initial(seqs), grouped)
+    return out.select(F.round("log_likelihood", 3).alias("log_likelihood"))
