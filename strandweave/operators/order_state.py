@@ -97,9 +97,10 @@ def is_before(state: DataFrame, a: int, b: int) -> bool:
 def intervening(state: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (a, b) with the total length strictly between their positions, from one prefix sum."""
     rows = running_sum(state.select("seq_id", "pos", "length"), "pos", "length", "_p")
+    names = pairs.columns
     for x in ("a", "b"):
         own = rows.select(F.col("seq_id").alias(x), F.struct("pos", F.col("_p").alias("p"), F.col("length").alias("n")).alias(f"_{x}"))
         pairs = pairs.join(own, x)
     low, high = F.least("_a", "_b"), F.greatest("_a", "_b")
     gap = F.when(F.col("a") == F.col("b"), F.lit(0)).otherwise(high["p"] - low["p"] - low["n"])
-    return pairs.withColumn("between_length", gap).drop("_a", "_b")
+    return pairs.select(*names, gap.alias("between_length"))

@@ -10,7 +10,7 @@ from ..errors import ParseError
 
 def numbered_lines(spark: SparkSession, path: str, stop_at_blank: bool = True) -> DataFrame:
     """(n, line) of a file from 0, trimmed, up to the first blank line."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
     rows = rows.select("n", F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")).alias("line"))
     if not stop_at_blank:
         return rows
@@ -20,7 +20,7 @@ def numbered_lines(spark: SparkSession, path: str, stop_at_blank: bool = True) -
 
 def read_mcl(spark: SparkSession, path: str) -> DataFrame:
     """(cl_id, seq_id): line n holds the ids of cluster n."""
-    return numbered_lines(spark, path).select(F.col("n").alias("cl_id"), F.explode(F.split("line", r"\s+")).cast("int").alias("seq_id"))
+    return numbered_lines(spark, path).select(F.col("n").alias("cl_id"), F.explode(F.transform(F.split("line", r"\s+"), lambda x: x.cast("int"))).alias("seq_id"))
 
 
 def read_table(spark: SparkSession, path: str, seq_col: int | None = 0, cl_col: int = 1) -> DataFrame:
@@ -88,7 +88,7 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_yaml_report(spark: SparkSession, path: str) -> DataFrame:
     """The same of a report in block-style YAML of that shape."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).where(F.trim("line") != "")
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).where(F.trim("line") != "")
     depth = F.length(F.regexp_extract("line", r"^( *)", 1))
     rows = rows.select("n", depth.alias("depth"), F.regexp_extract("line", r"^ *['\"]?(.*?)['\"]?:(?:\s|$)", 1).alias("key"), F.trim(F.regexp_extract("line", r":\s+(.*)$", 1)).alias("value"), F.trim("line").alias("item"))
     levels = sorted(r[0] for r in rows.where("item not like '-%'").select("depth").distinct().limit(16).collect())
