@@ -38,9 +38,9 @@ from .textops import U64, Rolling, checkpointed, flat, ranges, slices, tidied, t
 
 WINDOW, GRAM = 100, 32
 SPAN = WINDOW - GRAM + 1
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 21
 #: Anchors in a range or bucket, about; and blocks with one anchor from which its windows travel alone.
-BUCKET_ANCHORS, HOT_BLOCKS = 400_000, 256
+BUCKET_ANCHORS, HOT_BLOCKS = 200_000, 512
 #: Blocks that give splitter candidates, at most, and candidates of each.
 SAMPLED_BLOCKS, SAMPLES = 2000, 24
 _LOW = U64(0xFFFFFFFF)
@@ -70,13 +70,16 @@ class Anchors:
             self.at = self.lo = self.hi = self.row = np.zeros(0, np.int64)
             self.h = np.zeros(0, U64)
             return
-        grams = Rolling(raw).grams(GRAM)
-        key = (grams & ~_LOW) | np.arange(len(grams), dtype=U64)
-        owner = (_least(key, SPAN)[window] & _LOW).astype(np.int64)
+        key = Rolling(raw).grams(GRAM)
+        key &= ~_LOW
+        key |= np.arange(len(key), dtype=U64)
+        owner = (_least(key, SPAN) & _LOW).astype(np.uint32)[window]
+        del key
         first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
-        self.at, self.lo = owner[first], window[first]
-        self.hi = window[np.concatenate((first[1:], [len(window)])) - 1]
-        self.h = grams[self.at] >> U64(16)
+        self.at, self.lo = owner[first].astype(np.int64), window[first]
+        self.hi = window[np.append(first[1:], len(window)) - 1]
+        del owner, window
+        self.h = Rolling(raw).of(self.at, self.at + GRAM) >> U64(16)
         self.row = np.searchsorted(offsets, self.at, "right") - 1
 
 
@@ -109,6 +112,11 @@ def _shared(rows: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.where(same.all(1), rows.shape[1], same.argmin(1))))
 
 
+def _sorted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = multikey_order(rows.view(">u8").astype(U64))
+    return order, _shared(rows[order])
+
+
 def repeated(raw: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, end: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Which windows also start earlier: a row for each anchor, a column for each distance s of the anchor from the window's start.
 
@@ -120,15 +128,15 @@ def repeated(raw: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, en
     if n < 2:
         return out
     right, left = np.zeros((n, 104), np.uint8), np.zeros((n, 72), np.uint8)
-    for a in range(0, n, 1 << 16):
-        b = slice(a, a + (1 << 16))
+    for a in range(0, n, 1 << 13):
+        b = slice(a, a + (1 << 13))
         i = at[b, None] + np.arange(104)
         inside = i < end[b, None]
         right[b] = np.where(inside, raw[np.minimum(i, len(raw) - 1)], 0)
         i = at[b, None] - 1 - np.arange(72)
         left[b] = np.where(i >= lo[b, None], raw[np.maximum(i, 0)], 0)
-    r_order, l_order = multikey_order(right.view(">u8").astype(U64)), multikey_order(left.view(">u8").astype(U64))
-    r_shared, l_shared = _shared(right[r_order]), _shared(left[l_order])
+    (r_order, r_shared), (l_order, l_shared) = _sorted(right), _sorted(left)
+    del right, left
     r_id, l_id = np.zeros(n, U64), np.zeros(n, U64)
     bits = U64(max(1, int(n).bit_length()))
     low, high = at - hi, at - lo
@@ -234,7 +242,7 @@ def blocks(docs: DataFrame, text: str) -> DataFrame:
 def repeated_spans(table: DataFrame, text_at: int, id_at: int) -> DataFrame:
     """table: blocks.  (block, spans): packed (row, start, end) of the bytes to remove, some for each block, not merged."""
     total, count = table.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("*")).first()
-    buckets = max(8, int(total * 2 / (SPAN + 1) / BUCKET_ANCHORS) + 1)
+    buckets = max(64, int(total * 2 / (SPAN + 1) / BUCKET_ANCHORS) + 1)
     ranges_ = max(12, int(total * 2 / (SPAN + 1) / BUCKET_ANCHORS) + 1)
     sampled = table if count <= SAMPLED_BLOCKS else table.sample(SAMPLED_BLOCKS / count, 7).limit(2 * SAMPLED_BLOCKS)
     points = sorted(x for r in sampled.select("sample").toLocalIterator() for x in (r[0][i : i + WINDOW] for i in range(0, len(r[0]), WINDOW)))
