@@ -1,6 +1,6 @@
 """Connected components of a link table by alternating large-star and small-star rounds, all in DataFrame operations.
 
-Each round is checkpointed to the shared folder, so lineage stays short and a lost executor costs one round at most.
+Each round is written to the shared folder, so lineage stays short and a lost executor costs one round at most.
 Nothing but two numbers a round reaches the driver.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import checkpointed
+from ..tables import written
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -27,10 +27,10 @@ def components(links: DataFrame) -> DataFrame:
 
     Self links and repeated links are allowed and change nothing; nulls are dropped; an empty table gives an empty one.
     """
-    now = checkpointed(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
-        now = checkpointed(_star(_star(now, True), False))
+        now = written(_star(_star(now, True), False))
         print_ = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if print_ == before or not print_[0]:
             break

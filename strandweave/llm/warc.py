@@ -18,7 +18,6 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from urllib.parse import unquote, urlparse
@@ -28,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull
 
+from ..tables import shared_folder
 from .textops import checkpointed, tuned
 
 REVISIT = 1000
@@ -39,12 +39,6 @@ SCHEMA = "type string, record_id string, page_id long, target_uri string, refers
 HEADED = {"type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder of this name under spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def write(pages: DataFrame, path: str, id_: str = "page_id", url: str = "url", html: str = "html") -> None:
     """Writes a record for each row of pages as archive files in a folder."""
     spark = tuned(pages.sparkSession)
