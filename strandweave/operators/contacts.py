@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import MapConfig
 from ..functions.numeric import five_prime, has_flag, locate_bin, tip_of
 from ..functions.prefix import dense_ids, running_sum
+from ..tables import written
 
 # Flag bits of an alignment.
 PROPER, UNMAPPED, REVERSE, READ2, SECONDARY, DUPLICATE, SUPPLEMENTARY = 0x2, 0x4, 0x10, 0x80, 0x100, 0x400, 0x800
@@ -23,11 +24,12 @@ def sequence_table(references: DataFrame, fasta: DataFrame, min_len: int = 0) ->
     """references (ref_id, name, length) joined with counted sequences (name, length, sites...): those of min_len at least that both have.
 
     Ids follow the order of the references; offset is the sum of lengths before.  A length that differs is an error.
+    The table is written, as everything else reads it, and more than once.
     """
     kept = references.where(F.col("length") >= min_len).alias("r").join(fasta.withColumnRenamed("length", "_length"), "name")
     same = F.when(F.col("_length") == F.col("length"), F.col("length")).otherwise(F.raise_error(F.concat(F.lit("lengths differ: "), "name")).cast("long"))
     kept = kept.withColumn("length", same.cast("long")).drop("_length")
-    return running_sum(dense_ids(kept, "ref_id", "seq_id"), "ref_id", "length", "offset")
+    return written(running_sum(dense_ids(written(kept), "ref_id", "seq_id"), "ref_id", "length", "offset"))
 
 
 def missing_references(references: DataFrame, fasta: DataFrame, min_len: int = 0) -> int:

@@ -1,6 +1,6 @@
 """Order, orientation and mask of sequences as an immutable table: (seq_id, pos, ori, mask, length).
 
-Each change gives a new table.  Accepted sequences (mask true) take the first positions, the others follow in the order that they had.
+Each change gives a new table, a row for each sequence, which is written: what follows reads it, not the map that it came from.  Accepted sequences (mask true) take the first positions, the others follow in the order that they had.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prefix import dense_ids, running_sum
+from ..tables import written
 
 
 def initial(sequences: DataFrame) -> DataFrame:
@@ -18,8 +19,9 @@ def initial(sequences: DataFrame) -> DataFrame:
 
 def repositioned(state: DataFrame) -> DataFrame:
     """Positions anew: accepted first, then by position."""
+    state = written(state)
     rows = dense_ids(state.withColumnRenamed("pos", "_pos"), "_pos", "pos", [(~F.col("mask")).cast("int")])
-    return rows.select("seq_id", "pos", "ori", "mask", "length")
+    return written(rows.select("seq_id", "pos", "ori", "mask", "length"))
 
 
 def with_mask(state: DataFrame, mask: DataFrame) -> DataFrame:

@@ -662,7 +662,7 @@ def degenerates(spark, d):
     return graph.degenerates(edges, nodes, 1.5, 100, n=3, k=2)
 
 
-@query(sql(SPARSE, "heavy AS (SELECT * FROM sp WHERE src % 3 = 0 AND src <> dst)", "touched AS (SELECT unnest([src, dst]) AS n FROM heavy)", select="SELECT node, CASE WHEN node IN (SELECT n FROM touched) THEN cl_id ELSE (SELECT max(cl_id) + 1 FROM part WHERE node IN (SELECT n FROM touched)) END AS cl_id FROM part"))
+@query(sql(SPARSE, "heavy AS (SELECT * FROM sp WHERE src % 3 = 0 AND src <> dst)", "touched AS (SELECT unnest([src, dst]) AS n FROM heavy)", select="SELECT node, CASE WHEN node IN (SELECT n FROM touched) THEN cl_id ELSE (SELECT coalesce(max(cl_id), -1) + 1 FROM part WHERE node IN (SELECT n FROM touched)) END AS cl_id FROM part"))
 def ragbag(spark, d):
     edges = _sparse(spark, d)
     parts = _parts(edges)
@@ -754,7 +754,7 @@ def tour_order(spark, d):
 @query()
 def tour_order_tips(spark, d):
     tips = _tips(spark, d).withColumn("value", F.col("n").cast("double")).drop("n")
-    members = proxies.sequences(spark, d).select((F.col("seq_id") % 12).cast("int").alias("cl_id"), "seq_id")
+    members = proxies.sequences(spark, d).select(F.floor(F.col("seq_id") / 8).cast("int").alias("cl_id"), "seq_id")
     return ordering.ordered_clusters(tips, members, runs=1, tips=True)
 
 
