@@ -55,8 +55,8 @@ def read_tour(spark: SparkSession, path: str) -> tuple[dict[str, object], DataFr
         raise ParseError("there is no TOUR_SECTION")
     head = rows.where(F.col("n") < at).select(F.regexp_extract("line", r"(\w+)[\s:=]+(\S+)", 1).alias("k"), F.regexp_extract("line", r"(\w+)[\s:=]+(\S+)", 2).alias("v")).where("k <> ''").collect()
     header = {r.k: int(r.v) if r.k == "DIMENSION" else r.v for r in head}
-    body = rows.where((F.col("n") > at) & (F.col("line").cast("int") > 0))
-    return header, body.select((F.col("n") - at - 1).cast("int").alias("rank"), (F.col("line").cast("int") - 1).alias("node"))
+    body = rows.where((F.col("n") > at) & (F.expr("try_cast(line as int)") > 0))
+    return header, body.select((F.col("n") - at - 1).cast("int").alias("rank"), (F.expr("try_cast(line as int)") - 1).alias("node"))
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
