@@ -200,8 +200,11 @@ class Compiled:
                 heapq.heappush(heap, (self.rank[p], h, p))
         return left
 
-    def paths(self, texts: pa.Array, ids: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-        """(path of each piece, bounds of the pieces by text, piece hashes, texts for the library)."""
+    def paths(self, texts: pa.Array, ids: bool = False) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], list[int]]:
+        """(path of each piece, bounds of the pieces by text, content, texts for the library).
+
+        content: hashes and their bounds by text; those of texts for the library are of their pieces and, if ids are asked for, of each unsafe character.
+        """
         raw, offsets = flat(texts)
         whole = raw.tobytes()
         text = np.frombuffer(whole.decode().encode("utf-32-le"), np.uint32)
@@ -220,17 +223,23 @@ class Compiled:
                 odd.add(int(np.searchsorted(offsets, at, "right")) - 1)
                 at = whole.find(s, at + 1)
         bounds = np.searchsorted(starts, ends_at)
-        if odd:
-            keep = np.ones(len(starts), bool)
-            for d in odd:
-                keep[bounds[d] : bounds[d + 1]] = False
-            starts, ends = starts[keep], ends[keep]
-            bounds = np.searchsorted(starts, ends_at)
         n = len(low)
         power, inverse = Rolling.tables(n + 1)
         sums = np.zeros(n + 1, U64)
         np.cumsum(self.values[low] * power[:n], out=sums[1:])
         h = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64))
+        content = h, bounds
+        if odd:
+            if ids:
+                loose = np.flatnonzero(unsafe)
+                at = np.concatenate((starts, loose))
+                order = np.argsort(at, kind="stable")
+                content = np.concatenate((h, mix(text[loose].astype(U64) + U64(1 << 32))))[order], np.searchsorted(at[order], ends_at)
+            keep = np.ones(len(starts), bool)
+            for d in odd:
+                keep[bounds[d] : bounds[d + 1]] = False
+            starts, ends, h = starts[keep], ends[keep], h[keep]
+            bounds = np.searchsorted(starts, ends_at)
         path = self.index.find(h)
         new = np.flatnonzero(path < 0)
         if len(new):
@@ -250,7 +259,7 @@ class Compiled:
                 self.counts = np.concatenate((self.counts, np.array([self.emitted(x) for x in strings], np.int32)))
             self.index.add(fresh)
             path = self.index.find(h)
-        return path, bounds, h, sorted(odd)
+        return path, bounds, content, sorted(odd)
 
     def count(self, texts: pa.Array) -> np.ndarray:
         path, bounds, _, odd = self.paths(texts)
@@ -267,8 +276,8 @@ class Encoded(Compiled):
     _held: dict[str, Encoded] = {}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, bounds by text, piece hashes, bounds of those by text)."""
-        path, bounds, h, odd = self.paths(texts, ids=True)
+        """(ids, bounds by text, hashes of the content, bounds of those by text)."""
+        path, bounds, content, odd = self.paths(texts, ids=True)
         size = (self.bounds[1:] - self.bounds[:-1])[path]
         ids = self.ids[ranges(self.bounds[path], size)]
         sums = np.concatenate(([0], np.cumsum(size)))
@@ -283,7 +292,7 @@ class Encoded(Compiled):
                 extra[d + 1 :] += len(got)
             ids = np.concatenate([*parts, ids[at:]])
             cut = cut + extra
-        return ids, cut, h, bounds
+        return ids, cut, *content
 
 
 def _byte_symbols() -> list[str]:
