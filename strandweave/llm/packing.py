@@ -6,8 +6,8 @@ its cell's Hilbert key orders documents so that neighbours are alike.  Keys are
 of documents, and each range is cut into sequences along the curve: a document that doesn't fit goes on in the next one,
 and the rest of a range is cut into powers of two, so no sequence needs padding.
 
-A range holds some megabytes of tokens.  Equal keys (copies) are told apart by id, and where ranges would have to be more
-than the sample can tell apart, they are dealt into equal shares by a hash of the id.  Edge cases: null and empty texts
+A range holds some megabytes of tokens and follows on the one before it along the curve: the sample grows with the number of
+ranges.  Equal keys (copies) are told apart by id.  Edge cases: null and empty texts
 consist of the end id alone; null ids sort first and stay null; rows with equal ids are packed one after the other; an
 empty table gives no rows.
 """
@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .suffixdedup import _pack, _unpack
-from .textops import U64, mix, slices, tidied, tuned
+from .textops import U64, slices, tidied, tuned
 from .transducer import Encoded
 
 LENGTH, END_ID = 4096, 2
 BUCKETS, DIMENSIONS, BITS = 256, 4, 15
-#: Bytes of text in a range, documents in the sample, and ranges that it tells apart, at most.
+#: Bytes of text in a range, and documents in the sample for so many ranges, or the first of them.
 RANGE_BYTES, SAMPLED, RANGES = 8 << 20, 4000, 1000
 _NONE = np.iinfo(np.int64).min
 
@@ -101,9 +101,8 @@ def packed(docs: DataFrame, text: str = "text", id_: str = "doc_id", tokenizer:
         raise ValueError("length must be a power of two")
     docs = docs.select(docs[id_].cast("long").alias("id"), docs[text].cast("string").alias("text"))
     count, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    wanted = int(total // RANGE_BYTES) + 1
-    n_ranges = min(wanted, RANGES)
-    shares = -(-wanted // n_ranges)
+    n_ranges = int(total // RANGE_BYTES) + 1
+    n_sampled = SAMPLED * -(-n_ranges // RANGES)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Encoded.of(tokenizer)
@@ -112,7 +111,7 @@ def packed(docs: DataFrame, text: str = "text", id_: str = "doc_id", tokenizer:
                 _, _, h, bounds = machine.encode(part.column("text"))
                 yield pa.record_batch({"key": curve_keys(h, bounds), "id": part.column("id").fill_null(_NONE)})
 
-    sampled = docs.sample(min(1.0, SAMPLED / max(count, 1)), 5) if n_ranges > 1 else docs.limit(0)
+    sampled = docs.sample(min(1.0, n_sampled / max(count, 1)), 5) if n_ranges > 1 else docs.limit(0)
     points = np.array(sorted(tuple(r) for r in sampled.mapInArrow(tidied(keys), "key long, id long").collect()), np.int64).reshape(-1, 2)
     split = points[[len(points) * i // n_ranges for i in range(1, n_ranges)]] if len(points) else points
 
@@ -132,8 +131,6 @@ def packed(docs: DataFrame, text: str = "text", id_: str = "doc_id", tokenizer:
                     tie = np.searchsorted(split[:, 0], key, "right")
                     for i in np.flatnonzero(tie > part):
                         part[i] += np.searchsorted(split[part[i] : tie[i], 1], doc[i], "right")
-                if shares > 1:
-                    part = part * shares + (mix(doc.view(U64)) % U64(shares)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 at = np.searchsorted(part[order], np.unique(part))
                 for rows in np.split(order, at[1:]):
