@@ -697,7 +697,7 @@ def louvain_fine(spark, d):
 
 @query()
 def map_equation(spark, d):
-    return community.map_equation(_sparse(spark, d), trials=2)
+    return community.map_equation(_sparse(spark, d))
 
 
 @query()
@@ -755,7 +755,7 @@ def tour_order(spark, d):
 def tour_order_tips(spark, d):
     tips = _tips(spark, d).withColumn("value", F.col("n").cast("double")).drop("n")
     members = proxies.sequences(spark, d).select(F.floor(F.col("seq_id") / 8).cast("int").alias("cl_id"), "seq_id")
-    return ordering.ordered_clusters(tips, members, runs=1, tips=True)
+    return ordering.ordered_clusters(tips, members, tips=True)
 
 
 @query()
