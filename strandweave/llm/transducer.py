@@ -3,8 +3,8 @@
 The tokenizer file's pre-tokenizer becomes a deterministic lexer over seven character classes (three of them look one or
 two characters ahead, for contractions).  Text is cut into chunks; each chunk's map from states to states is found for all
 states at once, the maps are composed by a parallel prefix scan, and with its entry state known each chunk marks where
-pieces start.  A piece's path through the merge rules is compiled once, as a path of a second transducer whose accepting
-transition carries the number of tokens emitted; pieces find their paths by a 64-bit hash.
+pieces start.  The merge rules are no transducer: a piece goes through them once for each worker, and its token count is kept in
+a table that pieces are looked up in by a 64-bit hash.
 
 Texts with a character outside the compiled range (marks, characters that normalisation would change, code points from
 U+2E80, one-to-many lower case) or with a special token's string are given to the library itself.  Edge cases: null and
@@ -271,7 +271,7 @@ class Compiled:
 
 
 class Encoded(Compiled):
-    """The same with token ids on the accepting transitions, as the library gives them."""
+    """The same with token ids, as the library gives them."""
 
     _held: dict[str, Encoded] = {}
 
