@@ -1,6 +1,6 @@
-"""Running sums and dense ids over a whole table without a single-partition window over its rows.
+"""Running sums, dense ids and ranks over a whole table without a single-partition window over its rows.
 
-Rows are split into blocks of consecutive key values; a window over the blocks' totals (a row for each block) gives each
+For sums, rows are split into blocks of consecutive key values; a window over the blocks' totals (a row for each block) gives each
 block's base, and windows within blocks do the rest.  Sums don't depend on partitioning, and no row order is assumed.
 """
 
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import written
+
 BLOCK = 1 << 14
 
 
@@ -34,3 +36,16 @@ def running_sum(df: DataFrame, key: str, value: Column | str, into: str, before:
 def dense_ids(df: DataFrame, key: str, into: str, before: list[Column] | None = None) -> DataFrame:
     """Adds 0, 1, 2, ... in the order of (before..., key)."""
     return running_sum(df, key, F.lit(1).cast("long"), into, before).withColumn(into, F.col(into).cast("int"))
+
+
+def ranked(df: DataFrame, by: list[tuple[Column | str, bool]], into: str) -> DataFrame:
+    """Adds 0, 1, 2, ... in the order of columns of any kind (each with: ascending?): ranges of the order are sorted and written, and a range's rows follow on those before it."""
+    keys = [(F.col(c) if isinstance(c, str) else c).alias(f"_k{i}") for i, (c, _) in enumerate(by)]
+    order = [F.col(f"_k{i}").asc() if up else F.col(f"_k{i}").desc() for i, (_, up) in enumerate(by)]
+    rows = df.select("*", *keys).repartitionByRange(*order).sortWithinPartitions(*order).select(*df.columns)
+    # the id is the partition's number and, in 33 bits, the row's place in it
+    rows = written(rows.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    base = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))  # a row for each range
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(base), "_part").select(*df.columns, (F.col("_base") + place).alias(into))

@@ -84,19 +84,30 @@ def reverse_complement(seq: Column | str) -> Column:
     return F.reverse(F.translate(F.col(seq) if isinstance(seq, str) else seq, CODES, COMPLEMENTS))
 
 
+# Where assemblers write coverage.
+#   SPAdes, in the name: NODE_<number>_length_<number>_cov_<decimal>
+#   MEGAHIT, in the description: multi=<decimal>
+SPADES_NAME, MEGAHIT_FIELD, DECIMAL = ("NODE_", "_length_", "_cov_"), "multi=", r"^\d+\.\d*"
+
+
 def spades_coverage(name: Column | str) -> Column:
     """Coverage in a sequence's name; an error where there is none."""
-    return _coverage(F.col(name) if isinstance(name, str) else name, r"^NODE_\d+_length_\d+_cov_(\d+\.\d*)")
+    text = F.col(name) if isinstance(name, str) else name
+    node, length, cov = SPADES_NAME
+    number = F.substring_index(F.substring_index(text, cov, 1), length, -1)
+    return _coverage(text, F.when(text.startswith(node) & number.rlike(r"^\d+$"), F.get(F.split(text, cov, 2), F.lit(1))))
 
 
 def megahit_coverage(description: Column | str) -> Column:
     """Coverage in a sequence's description; an error where there is none."""
-    return _coverage(F.col(description) if isinstance(description, str) else description, r"^.*?multi=(\d+\.\d*)")
+    text = F.col(description) if isinstance(description, str) else description
+    return _coverage(text, F.get(F.split(text, MEGAHIT_FIELD, 2), F.lit(1)))
 
 
-def _coverage(text: Column, pattern: str) -> Column:
-    got = F.regexp_extract(text, pattern, 1)
-    return F.when(F.coalesce(got, F.lit("")) == "", F.raise_error(F.concat(F.lit("no coverage in "), F.coalesce(text, F.lit("null")))).cast("double")).otherwise(got.cast("double"))
+def _coverage(text: Column, rest: Column) -> Column:
+    """The decimal that the rest begins with."""
+    got = F.coalesce(F.regexp_extract(F.coalesce(rest, F.lit("")), DECIMAL, 0), F.lit(""))
+    return F.when(got == "", F.raise_error(F.concat(F.lit("no coverage in "), F.coalesce(text, F.lit("null")))).cast("double")).otherwise(got.cast("double"))
 
 
 def split_sequences(seqs: DataFrame, size: int, threshold: float = 1 / 3, legacy_floor_division: bool = False, id_: str = "id", seq: str = "seq") -> DataFrame:

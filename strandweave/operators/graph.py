@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.prefix import ranked
 from ..tables import written
 
 
@@ -146,6 +147,6 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def ordered_nodes(edges: DataFrame, order: str) -> DataFrame:
-    """(node): distinct nodes of edges by first appearance; order: a column that numbers the edges."""
+    """(node, rank): distinct nodes of edges by first appearance; order: a column that numbers the edges."""
     rows = edges.select(F.explode(F.array(F.struct((2 * F.col(order)).alias("at"), F.col("src").alias("node")), F.struct((2 * F.col(order) + 1).alias("at"), F.col("dst").alias("node")))).alias("x"))
-    return rows.groupBy("x.node").agg(F.min("x.at").alias("_at")).orderBy("_at").select("node")
+    return ranked(rows.groupBy("x.node").agg(F.min("x.at").alias("_at")), [("_at", True)], "rank").select("node", "rank")

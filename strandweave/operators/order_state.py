@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.prefix import dense_ids, running_sum
+from ..functions.prefix import dense_ids, ranked, running_sum
 from ..tables import written
 
 
@@ -37,9 +37,11 @@ def with_order(state: DataFrame, order: DataFrame, implicit_excluded: bool = Fal
         order = order.withColumn("ori", F.lit(1))
     given = order.select("seq_id", F.col("rank").alias("_rank"), F.col("ori").cast("byte").alias("_ori"))
     asked = state.where("mask") if implicit_excluded else state
-    if not (asked.join(given, "seq_id", "left_anti").isEmpty() and given.join(asked, "seq_id", "left_anti").isEmpty()):
+    met = asked.select("seq_id", F.lit(1).alias("_a")).join(given.groupBy("seq_id").agg(F.count("*").alias("_n")), "seq_id", "full")
+    other, twice = met.agg(F.count_if(F.col("_a").isNull() | F.col("_n").isNull()), F.count_if(F.col("_n") > 1)).first()
+    if other:
         raise ValueError("the order must hold exactly the " + ("accepted" if implicit_excluded else "known") + " sequences")
-    if not given.groupBy("seq_id").count().where("count > 1").isEmpty():
+    if twice:
         raise ValueError("the order holds a sequence twice")
     rows = state.join(given, "seq_id", "left")
     count = F.lit(1 << 40)
@@ -58,11 +60,10 @@ def masked(state: DataFrame, seq_id: int) -> DataFrame:
 
 
 def shuffled(state: DataFrame, seed: int) -> DataFrame:
-    """A random order that the seed fixes; accepted sequences stay first."""
-    key = F.xxhash64(F.col("seq_id"), F.lit(seed))
-    # hashes become ranks within blocks of the hash range
-    rows = running_sum(state.withColumn("_h", F.shiftrightunsigned(key, 1)), "_h", F.lit(1).cast("long"), "_rank", [(~F.col("mask")).cast("int"), F.shiftright("_h", 48)])
-    return rows.withColumn("pos", F.col("_rank").cast("int")).select("seq_id", "pos", "ori", "mask", "length")
+    """A random order that the seed fixes, by digests of ids; accepted sequences stay first."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("seq_id").cast("string")).cast("binary"))
+    rows = ranked(state.drop("pos"), [("mask", False), (digest, True)], "pos")
+    return rows.select("seq_id", F.col("pos").cast("int").alias("pos"), "ori", "mask", "length")
 
 
 def accepted_order(state: DataFrame) -> DataFrame:

@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from ..deploy import ship
 from ..errors import TooFewError
+from ..tables import written
 from .community import Graph, louvain_labels
 
 #: The largest distance that a 32-bit tour solver takes, before it is shared out.
 LARGEST = 2**31 - 1
+#: Links up to which a tour is the shortest there is, by dynamic programming over subsets.
+EXACT = 8
 
 
 def reciprocal_distance(similarity: np.ndarray, alpha: float = 0.1) -> np.ndarray:
@@ -66,8 +69,51 @@ def similarity_distance(similarity: np.ndarray, method: str, alpha: float = 2, b
     return scaled_range(far, 1, LARGEST / 2 / len(s) / headroom)
 
 
+def similarity_grid(cells: DataFrame) -> DataFrame:
+    """(i, j, s): every ordered pair of the ids of an upper-triangle table (i, j, value) with its similarity, zero where there is none and on the diagonal.
+
+    One cluster's grid: it has as many rows as its distance matrix has cells, by definition.
+    """
+    ids = written(cells.select(F.explode(F.array("i", "j")).alias("id")).distinct())
+    seen = cells.where("i <> j").select("i", "j", "value").union(cells.where("i <> j").select("j", "i", "value"))
+    grid = ids.select(F.col("id").alias("i")).join(ids.select(F.col("id").alias("j")))
+    return grid.join(seen, ["i", "j"], "left").select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("s"))
+
+
+def distance_cells(grid: DataFrame, method: str, alpha: float = 2, beta: float = 1, headroom: float = 1) -> DataFrame:
+    """similarity_distance() over a grid (i, j, s), in DataFrame operations: (i, j, distance)."""
+    if alpha < 1:
+        raise ValueError("alpha is 1 at least")
+    top = grid.agg(F.max("s").alias("_top"), F.sqrt(F.count("*")).alias("_n"))  # one row
+    share = F.col("s") / F.col("_top")
+    ways = {"inverse": 1 / F.col("s"), "linear": 1 - share, "neglog": -F.log(share)}
+    if method not in ways:
+        raise ValueError(f"{method}: the methods are inverse, linear and neglog")
+    checked = F.when(F.col("_top") > 0, F.col("s")).otherwise(F.raise_error(F.lit("there is no similarity above zero")).cast("double"))
+    seen = F.when(checked != 0, F.pow(ways[method], F.lit(float(beta))))
+    rows = grid.crossJoin(F.broadcast(top)).select("i", "j", "_n", seen.alias("_f"))
+    # linear distances of what is unseen are 1 before they are stretched
+    least = 1.0 if method == "linear" else 0.0
+    far = rows.agg((alpha * F.greatest(F.max("_f"), F.max(F.when(F.col("_f").isNull(), F.lit(least))))).alias("_far"))
+    rows = rows.crossJoin(F.broadcast(far)).select("i", "j", "_n", F.coalesce("_f", "_far").alias("_f"))
+    ends = rows.agg(F.min("_f").alias("_low"), F.max("_f").alias("_high"))
+    span = F.col("_high") - F.col("_low")
+    scaled = F.when(span == 0, F.lit(1.0)).otherwise(1 + (F.col("_f") - F.col("_low")) / span * (LARGEST / 2 / F.col("_n") / headroom - 1))
+    return rows.crossJoin(F.broadcast(ends)).select("i", "j", scaled.alias("distance"))
+
+
+def reciprocal_cells(grid: DataFrame, alpha: float = 0.1) -> DataFrame:
+    """reciprocal_distance() over a grid (i, j, s), in DataFrame operations: (i, j, distance)."""
+    top = grid.agg(F.max("s").alias("_top"), F.min("s").alias("_low"))  # one row
+    checked = F.when(F.col("_low") >= 0, F.col("s")).otherwise(F.raise_error(F.lit("similarities can't be negative")).cast("double"))
+    # the least distance is that of the largest similarity
+    far = 1.01 * (F.col("_top") + alpha) / (checked + alpha)
+    return grid.crossJoin(F.broadcast(top)).select("i", "j", F.when(F.col("i") == F.col("j"), F.lit(0.0)).otherwise(far).alias("distance"))
+
+
 def tour(distance: np.ndarray, seed: int = 0, fixed: list[tuple[int, int]] | None = None, runs: int = 5) -> list[int]:
-    """A short closed tour that holds the fixed edges (each node in one at most): nearest neighbours, then 2-opt and moved segments.
+    """A short closed tour that holds the fixed edges (each node in one at most): nearest neighbours, then 2-opt and moved segments;
+    the shortest of all for up to EXACT links.
 
     Fixed pairs travel as one: a tour is a sequence of links (node in, node out), which are turned and moved whole.
     """
@@ -76,6 +122,8 @@ def tour(distance: np.ndarray, seed: int = 0, fixed: list[tuple[int, int]] | Non
     mates = {a: b for a, b in fixed or []} | {b: a for a, b in fixed or []}
     links = [(a, mates.get(a, a)) for a in range(n) if a <= mates.get(a, a)]
     m = len(links)
+    if m <= EXACT:
+        return [x for a, b in _shortest(d, links) for x in ((a, b) if a != b else (a,))]
     rng = np.random.default_rng(seed)
     best: tuple[float, list[tuple[int, int]]] | None = None
 
@@ -126,6 +174,38 @@ def tour(distance: np.ndarray, seed: int = 0, fixed: list[tuple[int, int]] | Non
     return [x for a, b in best[1] for x in ((a, b) if a != b else (a,))]
 
 
+def _shortest(d: np.ndarray, links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The shortest closed tour over all links, from the first of them: least ways by the set of links passed and the last one and its direction."""
+    m = len(links)
+    ways = {(1, 0, 0): (0.0, None)}  # links passed, the last, whether it is turned: length and the state before
+    layer = list(ways)
+    for _ in range(m - 1):
+        reached: dict[tuple[int, int, int], None] = {}
+        for state in layer:
+            passed, last, turned = state
+            at = links[last][1 - turned]
+            for k in range(1, m):
+                if not passed >> k & 1:
+                    for t in (0, 1) if links[k][0] != links[k][1] else (0,):
+                        length = ways[state][0] + d[at, links[k][t]]
+                        new = (passed | 1 << k, k, t)
+                        if new not in ways or length < ways[new][0]:
+                            ways[new] = (length, state)
+                        reached[new] = None
+        layer = list(reached)
+    state = min(layer, key=lambda s: (ways[s][0] + d[links[s[1]][1 - s[2]], links[0][0]], s))
+    out = []
+    while state is not None:
+        out.append(links[state[1]][::-1] if state[2] else links[state[1]])
+        state = ways[state][1]
+    return out[::-1]
+
+
+def closed_length(distance: np.ndarray, path: list[int]) -> float:
+    """Of a closed tour."""
+    return float(sum(distance[a, b] for a, b in zip(path, path[1:] + path[:1], strict=True)))
+
+
 def find_order(similarity: np.ndarray, seed: int = 0, method: str = "inverse", runs: int = 5, tips: bool = False, alpha: float = 1.2, beta: float = 1) -> list[tuple[int, int]]:
     """(index, orientation) along a tour of a symmetric similarity matrix; with tips, rows 2i and 2i + 1 are the ends of i and stay together.
 
@@ -141,7 +221,7 @@ def find_order(similarity: np.ndarray, seed: int = 0, method: str = "inverse", r
 
 
 def ordered_clusters(cells: DataFrame, members: DataFrame, clusters: DataFrame | None = None, seed: int = 0, dist_method: str = "neglog", min_extent: int = 0, min_size: int = 3, runs: int = 5, tips: bool = False) -> DataFrame:
-    """(cl_id, rank, seq_id, ori): each eligible cluster's order, all clusters at a time.
+    """(cl_id, rank, seq_id, ori, tour_length): each eligible cluster's order, all clusters at a time; the tour's length repeats on its rows.
 
     cells: upper triangle (i, j, value), with k and l for tips.  Clusters of fewer than three rows, and those without a contact, have no order.
     """
@@ -172,10 +252,12 @@ def ordered_clusters(cells: DataFrame, members: DataFrame, clusters: DataFrame |
         except (TooFewError, ValueError):
             found = []
         out = pd.DataFrame(found, columns=["at", "ori"]).astype({"at": int, "ori": np.int8})
-        return pd.DataFrame({"cl_id": part["cl_id"].iloc[0], "rank": np.arange(len(out), dtype=np.int32), "seq_id": ids[out["at"].to_numpy(int)] if len(out) else np.zeros(0, np.int32), "ori": out["ori"]})
+        path = [x for a, o in found for x in ((2 * a, 2 * a + 1)[::o] if tips else (a,))]
+        length = closed_length(similarity_distance(s, dist_method, 1.2, 1), path) if found else 0.0
+        return pd.DataFrame({"cl_id": part["cl_id"].iloc[0], "rank": np.arange(len(out), dtype=np.int32), "seq_id": ids[out["at"].to_numpy(int)] if len(out) else np.zeros(0, np.int32), "ori": out["ori"], "tour_length": length})
 
     every = rows.withColumn("value", F.col("value").cast("double")).unionByName(own)
-    return every.groupBy("cl_id").applyInPandas(lambda part: one(part), "cl_id int, rank int, seq_id int, ori byte")
+    return every.groupBy("cl_id").applyInPandas(lambda part: one(part), "cl_id int, rank int, seq_id int, ori byte, tour_length double")
 
 
 def linkage(rows: np.ndarray, method: str = "ward") -> list[tuple[int, int, float]]:
@@ -325,26 +407,22 @@ def spanning_tree(edges: list[tuple[int, int, float]]) -> list[tuple[int, int, f
 
 def heavy_first(edges: list[tuple[int, int, float]], source: int | None = None) -> list[tuple[int, int]]:
     """Depth-first edges, the heaviest first, ties by node; from the source, or over all components by node."""
-    near: dict[int, list[tuple[float, int]]] = {}
-    for a, b, w in edges:
-        near.setdefault(a, []).append((-w, b))
-        near.setdefault(b, []).append((-w, a))
-    out, seen = [], set()
-    for start in sorted(near) if source is None else [source]:
-        if start in seen:
+    ends = pd.DataFrame([(a, b, w) for a, b, w in edges] + [(b, a, w) for a, b, w in edges], columns=["node", "other", "weight"])
+    # what is pushed last is popped first, so the heaviest edge to the least node comes last
+    ends = ends.sort_values(["node", "weight", "other"], ascending=[True, True, False])
+    onward = {node: part["other"].tolist() for node, part in ends.groupby("node")}
+    pending = [(None, node) for node in (sorted(onward, reverse=True) if source is None else [source])]
+    visited: set[int] = set()
+    walk = []
+    while pending:
+        origin, node = pending.pop()
+        if node in visited:
             continue
-        seen.add(start)
-        stack = [(start, iter(sorted(near.get(start, []))))]
-        while stack:
-            node, rest = stack[-1]
-            child = next((c for _, c in rest if c not in seen), None)
-            if child is None:
-                stack.pop()
-                continue
-            seen.add(child)
-            out.append((node, child))
-            stack.append((child, iter(sorted(near[child]))))
-    return out
+        visited.add(node)
+        if origin is not None:
+            walk.append((origin, node))
+        pending.extend((node, other) for other in onward.get(node, ()))
+    return walk
 
 
 def graphical_order(edges: DataFrame, alpha: float = 1.0, seed: int = 0, weight: str = "weight", by: str | None = None) -> DataFrame:

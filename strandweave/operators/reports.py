@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..errors import NoRemainingClustersError, NoReportError
 from ..functions.numeric import _c
+from ..functions.prefix import ranked
 from ..functions.sequence import gc_percent
 from .order_state import with_mask, with_order
 
@@ -19,10 +20,10 @@ from .order_state import with_mask, with_order
 def ranked_clusters(members: DataFrame, sequences: DataFrame, prefix: str = "CL") -> tuple[DataFrame, DataFrame]:
     """(clusters, members): clusters numbered from 0 by descending extent, ties by the id that they had."""
     sizes = members.join(sequences.select("seq_id", "length"), "seq_id").groupBy("cl_id").agg(F.sum("length").alias("extent"), F.count("*").alias("size"))
-    ranked = sizes.withColumn("_new", F.row_number().over(Window.orderBy(F.desc("extent"), "cl_id")) - 1)
-    clusters = named(ranked.select(F.col("_new").alias("cl_id"), "extent", "size"), prefix)
+    new = ranked(sizes, [("extent", False), ("cl_id", True)], "_new").withColumn("_new", F.col("_new").cast("int"))
+    clusters = named(new.select(F.col("_new").alias("cl_id"), "extent", "size"), prefix)
     rest = [c for c in members.columns if c != "cl_id"]
-    return clusters, members.join(ranked.select("cl_id", "_new"), "cl_id").select(F.col("_new").alias("cl_id"), *rest)
+    return clusters, members.join(new.select("cl_id", "_new"), "cl_id").select(F.col("_new").alias("cl_id"), *rest)
 
 
 def named(clusters: DataFrame, prefix: str = "CL") -> DataFrame:
@@ -108,6 +109,6 @@ def enabled_clusters(state: DataFrame, clusters: DataFrame, cluster_order: DataF
     rows = own.join(kept, "cl_id", "left_semi").join(state.where("mask").select("seq_id"), "seq_id", "left_semi")
     if rows.isEmpty():
         raise NoRemainingClustersError("no cluster is left")
-    order = rows.select("seq_id", "ori", F.row_number().over(Window.orderBy("cl_id", "rank")).alias("rank"))
+    order = ranked(rows.select("seq_id", "ori", "cl_id", F.col("rank").alias("_own")), [("cl_id", True), ("_own", True)], "rank").select("seq_id", "ori", "rank")
     mask = state.select("seq_id").join(order.select("seq_id", F.lit(True).alias("_in")), "seq_id", "left").select("seq_id", F.coalesce("_in", F.lit(False)).alias("accepted"))
     return with_order(with_mask(state, mask), order, implicit_excluded=True)

@@ -7,15 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..deploy import ship
 from ..functions import sequence
+from ..functions.prefix import ranked
 from ..operators import balance, bins, community, contacts, graph, likelihood, masks, normalise, order_state, ordering, reports, subspace
+from ..tables import written
 from . import proxies
+from .contact_map import ContactMap
 from .proxies import BINS, CONFIG, DNA, EXTENTS, PAIR_ORDER, READS, SEQUENCES, TIPS, sql, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,10 +26,29 @@ READ = (SEQUENCES, READS)
 EXT = (SEQUENCES, READS, BINS, EXTENTS)
 
 
+_HELD: dict[tuple, DataFrame] = {}
+
+
+def once(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f, planned once for each query: what is written on the way isn't written again for its second use."""
+
+    def held(spark: SparkSession, d: str, *more) -> DataFrame:
+        key = (f.__name__, spark, d, *more)
+        if key not in _HELD:
+            _HELD[key] = f(spark, d, *more)
+        return _HELD[key]
+
+    return held
+
+
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = f(ship(spark), sf_dir)
+            _HELD.clear()
+            try:
+                df = f(ship(spark), sf_dir)
+            finally:
+                _HELD.clear()
             kinds = {"int": "long", "tinyint": "long", "smallint": "long"}
             return df.select(*[F.col(f"`{c}`").cast(kinds[k]).alias(c) if k in kinds else F.round(f"`{c}`", 6).alias(c) if k == "double" else F.col(f"`{c}`") for c, k in df.dtypes])
 
@@ -40,8 +60,11 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+_sequences = once(proxies.sequences)
+
+
 def _pairs(spark: SparkSession, d: str, config=CONFIG) -> DataFrame:
-    return contacts.classified(contacts.paired(contacts.informative(proxies.alignments(spark, d)), PAIR_ORDER), proxies.sequences(spark, d), config)
+    return contacts.classified(contacts.paired(contacts.informative(proxies.alignments(spark, d)), PAIR_ORDER), _sequences(spark, d), config)
 
 
 def _contacts(spark: SparkSession, d: str) -> DataFrame:
@@ -52,8 +75,15 @@ def _tips(spark: SparkSession, d: str) -> DataFrame:
     return contacts.counted_tips(_pairs(spark, d, TIPS))
 
 
+@once
+def _kept_contacts(spark: SparkSession, d: str) -> DataFrame:
+    """Contacts, written: they are small beside the alignments, which are paired once."""
+    return written(_contacts(spark, d))
+
+
+@once
 def _grouped(spark: SparkSession, d: str) -> DataFrame:
-    return bins.grouped_bins(proxies.sequences(spark, d), 20_000)
+    return bins.grouped_bins(_sequences(spark, d), 20_000)
 
 
 def _extents(spark: SparkSession, d: str) -> DataFrame:
@@ -61,8 +91,8 @@ def _extents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mask(spark: SparkSession, d: str, least: int = 2) -> DataFrame:
-    seqs = proxies.sequences(spark, d)
-    return masks.acceptance(seqs, masks.max_off_diagonal(_contacts(spark, d), seqs), 120_000, least)
+    seqs = _sequences(spark, d)
+    return masks.acceptance(seqs, masks.max_off_diagonal(_kept_contacts(spark, d), seqs), 120_000, least)
 
 
 SIGNAL = """
@@ -77,7 +107,7 @@ MASK = (*READ, SIGNAL)
 
 @query(sql(SEQUENCES, select='SELECT seq_id, CAST(ref_id AS BIGINT) AS ref_id, name, length, "offset", sites FROM seqs'))
 def sequence_table(spark, d):
-    return proxies.sequences(spark, d).select("seq_id", "ref_id", "name", "length", "offset", "sites")
+    return _sequences(spark, d).select("seq_id", "ref_id", "name", "length", "offset", "sites")
 
 
 @query(sql(SEQUENCES, select="SELECT count(*) AS missing FROM refs WHERE length >= 1000 AND ref_id % 17 = 0"))
@@ -88,7 +118,7 @@ def missing_references(spark, d):
 
 @query(sql(SEQUENCES, select="SELECT CAST(ref_id AS BIGINT) AS ref_id, seq_id FROM seqs"))
 def reverse_index(spark, d):
-    return contacts.reverse_index(proxies.sequences(spark, d))
+    return contacts.reverse_index(_sequences(spark, d))
 
 
 @query(sql(*READ, select="SELECT CAST(sum(CASE WHEN flag & 3332 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS informative, count(*) AS reads FROM aln"))
@@ -188,12 +218,12 @@ def extent_counts(spark, d):
 
 @query(sql(*MASK, select="SELECT seq_id, signal FROM signal"))
 def max_offdiag(spark, d):
-    return masks.max_off_diagonal(_contacts(spark, d), proxies.sequences(spark, d))
+    return masks.max_off_diagonal(_contacts(spark, d), _sequences(spark, d))
 
 
 @query(sql(*READ, TIP_CELLS, "c2 AS (SELECT i, j, sum(n) AS n FROM tips GROUP BY i, j)", select="SELECT seqs.seq_id, CAST(coalesce(max(n), 0) AS BIGINT) AS signal FROM seqs LEFT JOIN (SELECT i AS s, n FROM c2 WHERE i <> j UNION ALL SELECT j, n FROM c2 WHERE i <> j) ON s = seq_id GROUP BY seqs.seq_id", tip=40_000))
 def max_offdiag_tips(spark, d):
-    return masks.max_off_diagonal_tips(_tips(spark, d), proxies.sequences(spark, d))
+    return masks.max_off_diagonal_tips(_tips(spark, d), _sequences(spark, d))
 
 
 @query(sql(*MASK, select="SELECT seq_id, length, signal, accepted FROM mask"))
@@ -209,12 +239,12 @@ def mask_intersection(spark, d):
 
 @query(sql(*MASK, select="SELECT a.dense_id AS i, b.dense_id AS j, n FROM contacts JOIN dense AS a ON i = a.seq_id JOIN dense AS b ON j = b.seq_id"))
 def compress_dense_ids(spark, d):
-    return masks.compressed(_contacts(spark, d), masks.accepted_ids(_mask(spark, d)))
+    return masks.compressed(_kept_contacts(spark, d), masks.accepted_ids(_mask(spark, d)))
 
 
 @query(sql(*MASK, select="SELECT i, j, n FROM contacts WHERE i IN (SELECT seq_id FROM dense) AND j IN (SELECT seq_id FROM dense)"))
 def restrict_map(spark, d):
-    return masks.restricted(_contacts(spark, d), masks.accepted_ids(_mask(spark, d)))
+    return masks.restricted(_kept_contacts(spark, d), masks.accepted_ids(_mask(spark, d)))
 
 
 TIP_MASK = "keep AS (SELECT seq_id, row_number() OVER (ORDER BY seq_id) - 1 AS dense_id FROM seqs WHERE length >= 120000)"
@@ -222,13 +252,13 @@ TIP_MASK = "keep AS (SELECT seq_id, row_number() OVER (ORDER BY seq_id) - 1 AS d
 
 @query(sql(*READ, TIP_CELLS, TIP_MASK, select="SELECT a.dense_id AS i, b.dense_id AS j, k, l, n FROM tips JOIN keep AS a ON i = a.seq_id JOIN keep AS b ON j = b.seq_id", tip=40_000))
 def compress_tips(spark, d):
-    mask = proxies.sequences(spark, d).select("seq_id", (F.col("length") >= 120_000).alias("accepted"))
+    mask = _sequences(spark, d).select("seq_id", (F.col("length") >= 120_000).alias("accepted"))
     return masks.compressed(_tips(spark, d), masks.accepted_ids(mask)).select("i", "j", "k", "l", "n")
 
 
 @query(sql(*EXT, TIP_MASK, "db AS (SELECT bin_id, row_number() OVER (ORDER BY bin_id) - 1 AS dense_bin FROM bins WHERE seq_id IN (SELECT seq_id FROM keep))", select="SELECT a.dense_bin AS bi, b.dense_bin AS bj, n FROM ext JOIN db AS a ON bi = a.bin_id JOIN db AS b ON bj = b.bin_id"))
 def compress_extents(spark, d):
-    mask = proxies.sequences(spark, d).select("seq_id", (F.col("length") >= 120_000).alias("accepted"))
+    mask = _sequences(spark, d).select("seq_id", (F.col("length") >= 120_000).alias("accepted"))
     return masks.compressed_extents(_extents(spark, d), masks.dense_bins(_grouped(spark, d), masks.accepted_ids(mask)))
 
 
@@ -247,12 +277,12 @@ def zero_diagonal(spark, d):
 
 @query(sql(*READ, select="SELECT i, j, round(n / (CAST(greatest(a.sites, 1) AS DOUBLE) * greatest(b.sites, 1)), 6) AS value FROM contacts JOIN seqs AS a ON i = a.seq_id JOIN seqs AS b ON j = b.seq_id"))
 def norm_by_sites(spark, d):
-    return normalise.by_sites(_contacts(spark, d), proxies.sequences(spark, d))
+    return normalise.by_sites(_contacts(spark, d), _sequences(spark, d))
 
 
 def _by_length(name: str, formula: str) -> None:
     def run(spark, d):
-        return normalise.by_length(_contacts(spark, d), proxies.sequences(spark, d), name)
+        return normalise.by_length(_contacts(spark, d), _sequences(spark, d), name)
 
     run.__name__ = f"norm_by_length_{name}"
     query(sql(*READ, select=f"SELECT i, j, round(n / (1e-3 * {formula}), 6) AS value FROM contacts JOIN (SELECT seq_id, CAST(length AS DOUBLE) AS x FROM seqs) AS a ON i = a.seq_id JOIN (SELECT seq_id, CAST(length AS DOUBLE) AS y FROM seqs) AS b ON j = b.seq_id"))(run)
@@ -264,22 +294,22 @@ for _name, _formula in (("geometric", "sqrt(x * y)"), ("harmonic", "(2 * x * y /
 
 @query(sql(*READ, TIP_CELLS, select="SELECT i, j, k, l, round(n / (CAST(greatest(CASE k WHEN 0 THEN a.left_sites ELSE a.right_sites END, 1) AS DOUBLE) * greatest(CASE l WHEN 0 THEN b.left_sites ELSE b.right_sites END, 1)), 6) AS value FROM tips JOIN seqs AS a ON i = a.seq_id JOIN seqs AS b ON j = b.seq_id", tip=40_000))
 def norm_tips_by_sites(spark, d):
-    return normalise.tips_by_sites(_tips(spark, d), proxies.sequences(spark, d))
+    return normalise.tips_by_sites(_tips(spark, d), _sequences(spark, d))
 
 
 @query(sql(*READ, TIP_CELLS, select="SELECT i, j, k, l, round(n * 14400000000.0::DOUBLE / (CAST(least(a.length, 120000) AS DOUBLE) * least(b.length, 120000)), 6) AS value FROM tips JOIN seqs AS a ON i = a.seq_id JOIN seqs AS b ON j = b.seq_id", tip=40_000))
 def norm_tips_by_length(spark, d):
-    return normalise.tips_by_length(_tips(spark, d), proxies.sequences(spark, d), 120_000)
+    return normalise.tips_by_length(_tips(spark, d), _sequences(spark, d), 120_000)
 
 
 @query(sql(*EXT, select="SELECT CAST(bi AS BIGINT) AS bi, CAST(bj AS BIGINT) AS bj, round(n / (1e-3 * sqrt(CAST(a.length AS DOUBLE) * CAST(b.length AS DOUBLE))), 6) AS value FROM ext JOIN bins AS a ON bi = a.bin_id JOIN bins AS b ON bj = b.bin_id"))
 def norm_extents_by_length(spark, d):
-    return normalise.extents_by_length(_extents(spark, d), bins.bin_table(_grouped(spark, d)), proxies.sequences(spark, d))
+    return normalise.extents_by_length(_extents(spark, d), bins.bin_table(_grouped(spark, d)), _sequences(spark, d))
 
 
 @query(sql(*READ, select="SELECT i, j, round(n * (i + 1.0::DOUBLE) * (j + 1.0::DOUBLE), 6) AS value FROM contacts"))
 def scale_map(spark, d):
-    scale = proxies.sequences(spark, d).select("seq_id", (F.col("seq_id") + 1.0).alias("x"))
+    scale = _sequences(spark, d).select("seq_id", (F.col("seq_id") + 1.0).alias("x"))
     return normalise.scaled(_contacts(spark, d).select("i", "j", F.col("n").cast("double").alias("value")), scale)
 
 
@@ -297,25 +327,83 @@ nid AS (SELECT DISTINCT unnest([i, j]) AS id FROM nat),
 nfull AS (SELECT i, j, value FROM nat UNION ALL SELECT j, i, value FROM nat WHERE i <> j)"""
 
 
-@query(sql(NATIONS, select="SELECT CAST(id AS BIGINT) AS seq_id, round(1.0::DOUBLE, 4) AS total FROM nid WHERE id IN (SELECT i FROM nat WHERE i = j)"))
+def _thinned(spark: SparkSession, d: str) -> DataFrame:
+    """The same without some cells of the diagonal."""
+    return _nations(spark, d).where("i <> j or i % 5 <> 0")
+
+
+def balancing(cells: str, rounds: int = 400) -> str:
+    """SQL of the scale of an upper-triangle table (i, j, value): rounds of halved steps in log scale on lists; missing diagonals count as one."""
+    return f"""
+bfull AS (SELECT i, j, CAST(value AS DOUBLE) AS value FROM {cells} UNION ALL SELECT j, i, CAST(value AS DOUBLE) FROM {cells} WHERE i <> j),
+bix AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM (SELECT DISTINCT i AS id FROM bfull)),
+bgrid AS (SELECT a.k AS i, b.k AS j, coalesce(value, CASE WHEN a.k = b.k THEN 1.0 ELSE 0.0 END)::DOUBLE AS v FROM bix AS a CROSS JOIN bix AS b LEFT JOIN bfull ON i = a.id AND j = b.id),
+bmat AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM bgrid GROUP BY i)),
+bround(n, x) AS (SELECT 0, list_transform(m, lambda r: 1 / sqrt(list_sum(r))) FROM bmat UNION ALL SELECT n + 1, list_transform(x, lambda v, k: sqrt(v / list_inner_product(m[k], x))) FROM bround, bmat WHERE n < {rounds}),
+bscale AS (SELECT id, x[k] AS x FROM bix, bround WHERE n = {rounds})"""
+
+
+THIN = "thin AS (SELECT * FROM nat WHERE i <> j OR i % 5 <> 0)"
+ROW_SUMS = sql("RECURSIVE " + NATIONS.strip(), THIN, balancing("thin"), select="SELECT CAST(a.id AS BIGINT) AS seq_id, round(any_value(a.x), 6) AS x, round(sum(a.x * coalesce(value, 0) * b.x), 4) AS total FROM bscale AS a CROSS JOIN bscale AS b LEFT JOIN (SELECT i, j, value FROM thin UNION ALL SELECT j, i, value FROM thin WHERE i <> j) ON i = a.id AND j = b.id GROUP BY a.id")
+
+
+def _row_sums(rows: DataFrame, **more) -> DataFrame:
+    out, scale = balance.balanced(rows, 1e-9, **more)
+    full = contacts.symmetric(out)
+    return full.groupBy(F.col("i").alias("seq_id")).agg(F.round(F.sum("value"), 4).alias("total")).join(scale, "seq_id").select("seq_id", "x", "total")
+
+
+@query(ROW_SUMS)
 def balance_row_sums(spark, d):
-    rows = _nations(spark, d)
-    own = rows.where("i = j").select(F.col("i").alias("seq_id"))
-    full = contacts.symmetric(balance.balanced(rows, 1e-9)[0])
-    return full.groupBy(F.col("i").alias("seq_id")).agg(F.round(F.sum("value"), 4).alias("total")).join(own, "seq_id", "left_semi")
+    return _row_sums(_thinned(spark, d))
 
 
-@query(sql(NATIONS, select="SELECT CAST(id AS BIGINT) AS seq_id, round(1.0::DOUBLE, 4) AS total FROM nid WHERE id IN (SELECT i FROM nat WHERE i = j)"))
+@query(ROW_SUMS)
 def balance_row_sums_distributed(spark, d):
-    rows = _nations(spark, d)
-    own = rows.where("i = j").select(F.col("i").alias("seq_id"))
-    full = contacts.symmetric(balance.balanced(rows, 1e-5, dense_cells=0)[0])
-    return full.groupBy(F.col("i").alias("seq_id")).agg(F.round(F.sum("value"), 4).alias("total")).join(own, "seq_id", "left_semi")
+    return _row_sums(_thinned(spark, d), dense_cells=0)
 
 
-@query()
+@query(sql("RECURSIVE " + NATIONS.strip(), balancing("nat"), select="SELECT CAST(id AS BIGINT) AS seq_id, round(x, 6) AS x FROM bscale"))
 def balance_scale(spark, d):
-    return balance.scale_factors(_nations(spark, d))
+    return balance.scale_factors(_nations(spark, d), 1e-9)
+
+
+@query(sql("RECURSIVE " + READ[0].strip(), READ[1], TIP_CELLS, "tsum AS (SELECT i, j, sum(n) AS value FROM tips GROUP BY i, j)", balancing("tsum"), select="SELECT i, j, k, l, round(n * a.x * b.x, 4) AS value FROM tips JOIN bscale AS a ON a.id = i JOIN bscale AS b ON b.id = j", tip=40_000))
+def balance_tips(spark, d):
+    rows = balance.balanced_tips(written(_tips(spark, d)).withColumnRenamed("n", "value"), 1e-9)[0]
+    return rows.select("i", "j", "k", "l", F.round("value", 4).alias("value"))
+
+
+# -- the whole map: its plan's entry points ------------------------------------------------------------------------------------------
+
+
+def _map(spark: SparkSession, d: str) -> ContactMap:
+    return ContactMap.build(proxies.alignments(spark, d), proxies.references(spark, d), proxies.counted_fasta(spark, d), CONFIG, PAIR_ORDER)
+
+
+KEPT = "keep AS (SELECT seq_id, row_number() OVER (ORDER BY seq_id) - 1 AS dense_id FROM (SELECT seq_id FROM signal WHERE signal >= 2))"
+SITE_MAP = "site_map AS (SELECT i, j, n / (CAST(greatest(a.sites, 1) AS DOUBLE) * greatest(b.sites, 1)) AS value FROM contacts JOIN seqs AS a ON i = a.seq_id JOIN seqs AS b ON j = b.seq_id)"
+
+
+@query(sql(*READ, select="SELECT status, count(*) AS n FROM cls GROUP BY status"))
+def map_statuses(spark, d):
+    return _map(spark, d).statuses()
+
+
+@query(sql("RECURSIVE " + READ[0].strip(), READ[1], SITE_MAP, balancing("site_map"), select="SELECT i, j, round(value * a.x * b.x, 4) AS value FROM site_map JOIN bscale AS a ON a.id = i JOIN bscale AS b ON b.id = j"))
+def map_processed(spark, d):
+    return _map(spark, d).processed().select("i", "j", F.round("value", 4).alias("value"))
+
+
+@query(sql(*MASK, KEPT, SITE_MAP, select="SELECT a.dense_id AS i, b.dense_id AS j, round(value, 6) AS value FROM site_map JOIN keep AS a ON i = a.seq_id JOIN keep AS b ON j = b.seq_id"))
+def map_subspace(spark, d):
+    m = _map(spark, d)
+    return m.subspace(m.processed(bisto=False))[0].select("i", "j", "value")
+
+
+@query(sql(*EXT, SIGNAL, KEPT, "db AS (SELECT bin_id, length, row_number() OVER (ORDER BY bin_id) - 1 AS dense_bin FROM bins WHERE seq_id IN (SELECT seq_id FROM keep))", select="SELECT a.dense_bin AS bi, b.dense_bin AS bj, round(n / (1e-3 * sqrt(CAST(a.length AS DOUBLE) * CAST(b.length AS DOUBLE))), 6) AS value FROM ext JOIN db AS a ON bi = a.bin_id JOIN db AS b ON bj = b.bin_id"))
+def map_extents(spark, d):
+    return _map(spark, d).extent_map().select("bi", "bj", "value")
 
 
 # -- rearrangement ----------------------------------------------------------------------------------------------------------------
@@ -347,9 +435,9 @@ def extent_to_seq_legacy(spark, d):
 ORDERED = "ord AS (SELECT seq_id AS id, row_number() OVER (ORDER BY length DESC, seq_id) - 1 AS rank, CASE WHEN seq_id % 3 = 0 THEN -1 ELSE 1 END AS ori FROM seqs)"
 
 
+@once
 def _order(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.orderBy(F.desc("length"), "seq_id")
-    return proxies.sequences(spark, d).select("seq_id", (F.row_number().over(w) - 1).alias("rank"), F.when(F.col("seq_id") % 3 == 0, -1).otherwise(1).alias("ori"), "length")
+    return ranked(_sequences(spark, d), [("length", False), ("seq_id", True)], "rank").select("seq_id", F.col("rank").cast("int").alias("rank"), F.when(F.col("seq_id") % 3 == 0, -1).otherwise(1).alias("ori"), "length")
 
 
 @query(sql(*READ, ORDERED, select="SELECT least(a.rank, b.rank) AS i, greatest(a.rank, b.rank) AS j, n FROM contacts JOIN ord AS a ON i = a.id JOIN ord AS b ON j = b.id"))
@@ -384,7 +472,7 @@ def heatmap_table(spark, d):
 
 @query(sql(SEQUENCES, ORDERED, select="SELECT rank, CASE WHEN ori < 0 THEN '- ' ELSE '+ ' END || name AS label, rank AS location FROM ord JOIN seqs ON id = seq_id"))
 def tick_labels(spark, d):
-    return subspace.tick_labels(_order(spark, d).drop("length"), proxies.sequences(spark, d))
+    return subspace.tick_labels(_order(spark, d).drop("length"), _sequences(spark, d))
 
 
 # -- order state ------------------------------------------------------------------------------------------------------------------
@@ -392,7 +480,7 @@ def tick_labels(spark, d):
 
 def _state(spark: SparkSession, d: str) -> DataFrame:
     """Masked and put in the order of descending lengths."""
-    state = order_state.with_mask(order_state.initial(proxies.sequences(spark, d)), _mask(spark, d))
+    state = order_state.with_mask(order_state.initial(_sequences(spark, d)), _mask(spark, d))
     return order_state.with_order(state, _order(spark, d))
 
 
@@ -431,7 +519,7 @@ def flip_sequence(spark, d):
     return order_state.flipped(_state(spark, d), 3)
 
 
-@query()
+@query(sql(*MASK, STATE, select="SELECT seq_id, row_number() OVER (ORDER BY mask DESC, md5('7:' || seq_id)) - 1 AS pos, CAST(ori AS BIGINT) AS ori, mask, length FROM st"))
 def shuffled_order(spark, d):
     return order_state.shuffled(_state(spark, d), 7)
 
@@ -492,7 +580,7 @@ def coverage_extract(spark, d):
 
 
 def _members(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    seqs = proxies.sequences(spark, d)
+    seqs = _sequences(spark, d)
     rows = seqs.where("seq_id % 11 <> 0").select((F.col("seq_id") % 7).cast("int").alias("cl_id"), "seq_id")
     return reports.ranked_clusters(rows, seqs)
 
@@ -540,12 +628,12 @@ def cluster_report(spark, d):
 
 @query(sql(*CLUSTERED, select="SELECT cl_id, string_agg(contig, ' ' ORDER BY seq_id) AS line FROM members GROUP BY cl_id UNION ALL SELECT NULL, name FROM seqs WHERE seq_id % 11 = 0"))
 def mcl_lines(spark, d):
-    return reports.mcl_lines(_members(spark, d)[1], proxies.sequences(spark, d))
+    return reports.mcl_lines(_members(spark, d)[1], _sequences(spark, d))
 
 
 @query(sql(*CLUSTERED, select="SELECT seq_id, name FROM seqs WHERE seq_id NOT IN (SELECT seq_id FROM members)"))
 def lost_sequences(spark, d):
-    return reports.lost_sequences(proxies.sequences(spark, d), _members(spark, d)[1]).select("seq_id", "name")
+    return reports.lost_sequences(_sequences(spark, d), _members(spark, d)[1]).select("seq_id", "name")
 
 
 @query(sql(*CLUSTERED, select="SELECT cl_id, row_number() OVER (PARTITION BY cl_id ORDER BY seq_id) AS n, seq_id FROM members"))
@@ -566,7 +654,7 @@ numbered AS (SELECT *, row_number() OVER (ORDER BY cl_id, rank) AS spot FROM cho
 
 @query(sql(*CLUSTERED, ENABLED, select="SELECT seqs.seq_id, row_number() OVER (ORDER BY spot IS NULL, spot, seqs.seq_id) - 1 AS pos, CAST(coalesce(ori, 1) AS BIGINT) AS ori, spot IS NOT NULL AS mask, length FROM seqs LEFT JOIN numbered USING (seq_id)"))
 def enabled_clusters(spark, d):
-    seqs = proxies.sequences(spark, d)
+    seqs = _sequences(spark, d)
     clusters, members = _members(spark, d)
     w = Window.partitionBy("cl_id").orderBy(F.desc("length"), "seq_id")
     order = members.join(seqs.select("seq_id", "length"), "seq_id").where("cl_id <> 2").select("cl_id", "seq_id", (F.row_number().over(w) - 1).alias("rank"), F.when(F.col("seq_id") % 2 == 0, -1).otherwise(1).alias("ori"))
@@ -669,12 +757,9 @@ def ragbag(spark, d):
     return graph.with_isolates(parts, parts.select(F.col("node").alias("u")), edges.where("src % 3 = 0"), "ragbag")
 
 
-@query(sql(SPARSE, "e AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) AS n FROM sp)", select="SELECT node FROM (SELECT unnest([src, dst]) AS node FROM e) GROUP BY node"))
+@query(sql(SPARSE, "e AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) AS n FROM sp)", select="SELECT node, row_number() OVER (ORDER BY min(spot)) - 1 AS rank FROM (SELECT unnest([src, dst]) AS node, unnest([2 * n, 2 * n + 1]) AS spot FROM e) GROUP BY node"))
 def ordered_nodes(spark, d):
-    rows = _sparse(spark, d).withColumn("n", F.row_number().over(Window.orderBy("src", "dst")))
-    return graph.ordered_nodes(rows, "n")
-
-
+    return graph.ordered_nodes(ranked(_sparse(spark, d), [("src", True), ("dst", True)], "n"), "n")
 
 
 @query(sql("RECURSIVE " + SPARSE.strip(), "e AS (SELECT DISTINCT u, v FROM ends)", "reach AS (SELECT DISTINCT u AS node, u AS r FROM e UNION SELECT e.v, reach.r FROM reach JOIN e ON e.u = reach.node)", select="SELECT node, min(r) AS component FROM reach GROUP BY node"))
@@ -682,42 +767,87 @@ def connected_components(spark, d):
     return graph.connected(_sparse(spark, d))
 
 
-# -- communities, orders and likelihood (objectives are tested; results have no SQL) ----------------------------------------------------
+# -- communities, orders and likelihood ---------------------------------------------------------------------------------------------------
 
 
-@query()
+def _cliques(spark: SparkSession, d: str) -> DataFrame:
+    """Two nodes for each supplier, all of a nation linked heavily, and each supplier lightly to the next: the nations are the best communities."""
+    rows = table(spark, d, "supplier").select((2 * F.col("s_suppkey")).alias("id"), F.col("s_nationkey").alias("nation"))
+    nodes = rows.select(F.explode(F.array("id", F.col("id") + 1)).alias("node"), "nation")
+    near = nodes.select(F.col("node").alias("src"), "nation").join(nodes.select(F.col("node").alias("dst"), "nation"), "nation").where("src < dst").select("src", "dst", F.lit(10.0).alias("weight"))
+    light = rows.alias("a").join(rows.alias("b"), F.col("b.id") == F.col("a.id") + 2).where("a.nation <> b.nation").select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"), F.lit(0.1).alias("weight"))
+    return near.union(light)
+
+
+NATION_NODES = "cn AS (SELECT 2 * s_suppkey + u.k AS node, s_nationkey AS nation FROM supplier, unnest([0, 1]) AS u(k))"
+NATION_LABELS = sql(NATION_NODES, select="SELECT node, dense_rank() OVER (ORDER BY root) - 1 AS cl_id FROM (SELECT node, min(node) OVER (PARTITION BY nation) AS root FROM cn)")
+
+
+@query(NATION_LABELS)
 def louvain(spark, d):
-    return community.louvain(_sparse(spark, d))
+    return community.louvain(_cliques(spark, d))
 
 
-@query()
+@query(NATION_LABELS)
 def louvain_fine(spark, d):
-    return community.clustered(_sparse(spark, d), "slm")
+    return community.clustered(_cliques(spark, d), "slm")
 
 
-@query()
+@query(NATION_LABELS)
 def map_equation(spark, d):
-    return community.map_equation(_sparse(spark, d))
-
-
-@query()
+    return community.map_equation(_cliques(spark, d))
+
+
+def _checked(edges: DataFrame, found: DataFrame, resolution: float) -> DataFrame:
+    """(nodes, weight, better_moves, broken): what a partition by modularity must satisfy; a better move is one of a node to a neighbour's community that raises modularity."""
+    found = written(found)
+    ends = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), "weight").union(edges.select("dst", "src", "weight"))
+    degree = ends.groupBy("u").agg(F.sum("weight").alias("d"))
+    total = edges.agg(F.sum("weight").alias("weight"))
+    label = lambda x: found.select(F.col("node").alias(x), F.col("cl_id").alias(f"c_{x}"))
+    volume = degree.join(label("u"), "u").groupBy(F.col("c_u").alias("c")).agg(F.sum("d").alias("volume"))
+    links = ends.where("u <> v").join(label("v"), "v").groupBy("u", F.col("c_v").alias("c")).agg(F.sum("weight").alias("w"))
+    own = degree.join(label("u"), "u").select("u", F.col("c_u").alias("c"), F.lit(0.0).alias("w"))
+    gain = links.union(own).groupBy("u", "c").agg(F.sum("w").alias("w")).join(degree, "u").join(label("u"), "u").join(volume, "c").crossJoin(total)  # one row
+    rest = F.col("volume") - F.when(F.col("c") == F.col("c_u"), F.col("d")).otherwise(0.0)
+    gain = gain.select("u", (F.col("c") == F.col("c_u")).alias("own"), (F.col("w") - resolution * F.col("d") * rest / (2 * F.col("weight"))).alias("gain"))
+    best = gain.groupBy("u").agg(F.max(F.when(F.col("own"), F.col("gain"))).alias("stay"), F.max("gain").alias("best"))
+    inside = edges.join(label("src"), "src").join(label("dst"), "dst").where("c_src = c_dst").select("src", "dst", "weight")
+    loops = found.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("weight"))
+    parts = graph.connected(inside.union(loops)).join(found, "node").groupBy("cl_id").agg(F.countDistinct("component").alias("n"))
+    out = best.agg(F.count("*").alias("nodes"), F.count_if(F.col("best") > F.col("stay") + 1e-9).alias("better_moves"))
+    return out.crossJoin(total).crossJoin(parts.agg(F.count_if(F.col("n") > 1).alias("broken"))).select("nodes", "weight", "better_moves", "broken")
+
+
+CHECKED = sql(SPARSE, select="SELECT (SELECT count(DISTINCT u) FROM ends) AS nodes, CAST(sum(weight) AS DOUBLE) AS weight, 0::BIGINT AS better_moves, 0::BIGINT AS broken FROM sp")
+
+
+@query(CHECKED)
+def louvain_optimum(spark, d):
+    """No single move of a node is better, and no community falls apart."""
+    edges = written(_sparse(spark, d))
+    return _checked(edges, community.louvain(edges), 1.0)
+
+
+MARKOV_ROUNDS = 100
+MARKOV = f"""
+kix AS (SELECT id, row_number() OVER (ORDER BY id) AS k FROM nid),
+kgrid AS (SELECT a.k AS i, b.k AS j, coalesce(value, CASE WHEN a.k = b.k THEN (SELECT max(value) FROM nfull AS f WHERE f.i = a.id) ELSE 0.0 END)::DOUBLE AS v FROM kix AS a CROSS JOIN kix AS b LEFT JOIN nfull ON nfull.i = a.id AND nfull.j = b.id),
+kcols AS (SELECT list(list_transform(r, lambda x: x / list_sum(r)) ORDER BY j) AS m FROM (SELECT j, list(v ORDER BY i) AS r FROM kgrid GROUP BY j)),
+kround(n, m) AS (SELECT 0, m FROM kcols UNION ALL SELECT n + 1, list_transform(list_transform(list_transform(list_transform(m, lambda c: list_transform(range(1, len(m) + 1), lambda i: pow(list_inner_product(list_transform(m, lambda o: o[i]), c), 1.2))),
+  lambda c: list_transform(c, lambda x: x / list_sum(c))), lambda c: list_transform(c, lambda x: CASE WHEN x >= 1e-4 THEN x ELSE 0 END)), lambda c: list_transform(c, lambda x: x / list_sum(c))) FROM kround WHERE n < {MARKOV_ROUNDS}),
+kstrong AS (SELECT a.id AS u, b.id AS v FROM kround, kix AS a, kix AS b WHERE n = {MARKOV_ROUNDS} AND m[b.k][a.k] > 1e-4),
+kboth AS (SELECT u, v FROM kstrong UNION SELECT v, u FROM kstrong),
+kreach AS (SELECT DISTINCT u AS node, u AS r FROM kboth UNION SELECT kboth.v, kreach.r FROM kreach JOIN kboth ON kboth.u = kreach.node)"""
+
+
+@query(sql("RECURSIVE " + NATIONS.strip(), MARKOV, select="SELECT CAST(node AS BIGINT) AS node, dense_rank() OVER (ORDER BY root) - 1 AS cl_id FROM (SELECT node, min(r) AS root FROM kreach GROUP BY node)"))
 def markov_clusters(spark, d):
     return community.markov(_edges(spark, d))
 
 
-def _distance_cells(spark: SparkSession, d: str, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """A distance of each ordered pair of nations."""
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(np.concatenate((part["i"], part["j"])))
-        m = np.zeros((len(ids), len(ids)))
-        a, b = np.searchsorted(ids, part["i"]), np.searchsorted(ids, part["j"])
-        m[a, b] = m[b, a] = part["value"]
-        out = f(m)
-        i, j = np.indices(out.shape)
-        return pd.DataFrame({"i": ids[i.ravel()], "j": ids[j.ravel()], "distance": out.ravel()})
-
-    return _nations(spark, d).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda part: one(part), "i long, j long, distance double")
+def _grid(spark: SparkSession, d: str) -> DataFrame:
+    return ordering.similarity_grid(written(_nations(spark, d)))
 
 
 GRID = "grid AS (SELECT a.id AS i, b.id AS j, CASE WHEN a.id = b.id THEN 0.0 ELSE coalesce(value, 0.0) END AS s FROM nid AS a CROSS JOIN nid AS b LEFT JOIN nfull ON nfull.i = a.id AND nfull.j = b.id)"
@@ -725,7 +855,7 @@ GRID = "grid AS (SELECT a.id AS i, b.id AS j, CASE WHEN a.id = b.id THEN 0.0 ELS
 
 def _distance(method: str, seen: str, unseen: str) -> None:
     def run(spark, d):
-        return _distance_cells(spark, d, lambda m: ordering.similarity_distance(m, method, 1.2, 1)).select("i", "j", F.round("distance", 2).alias("distance"))
+        return ordering.distance_cells(_grid(spark, d), method, 1.2, 1).select("i", "j", F.round("distance", 2).alias("distance"))
 
     run.__name__ = f"distance_{method}"
     far = f"far AS (SELECT i, j, s, CASE WHEN s > 0 THEN {seen} ELSE {unseen} END AS y FROM grid)"
@@ -739,23 +869,52 @@ for _name, _seen, _unseen in (("inverse", "1 / s", "0"), ("linear", "1 - s / (SE
 
 @query(sql(NATIONS, GRID, select="SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(CASE WHEN i = j THEN 0 ELSE 1.01::DOUBLE * (SELECT max(s) + 0.1 FROM grid) / (s + 0.1) END, 6) AS distance FROM grid"))
 def reciprocal_distance(spark, d):
-    return _distance_cells(spark, d, ordering.reciprocal_distance)
+    return ordering.reciprocal_cells(_grid(spark, d))
 
 
 def _regions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select(F.col("n_regionkey").alias("cl_id"), F.col("n_nationkey").alias("seq_id"))
 
 
-@query()
+def tours(cells: str, members: str, tips: bool) -> str:
+    """SQL of the shortest tours of members (cl_id, seq_id, eight at most) over cells (i, j, value; with tips k and l), by sets of sequences passed."""
+    at = (lambda x, e: f"2 * {x}.n + {e}") if tips else (lambda x, e: f"{x}.n")
+    turns = "[0, 1]" if tips else "[0]"
+    out = [f"""
+tm AS (SELECT cl_id, seq_id, row_number() OVER (PARTITION BY cl_id ORDER BY seq_id) - 1 AS n, count(*) OVER (PARTITION BY cl_id) AS size FROM {members}),
+ts0 AS (SELECT a.cl_id, {at('a', 'k')} AS x, {at('b', 'l')} AS y, value FROM {cells} JOIN tm AS a ON i = a.seq_id JOIN tm AS b ON j = b.seq_id AND a.cl_id = b.cl_id),
+ts AS (SELECT cl_id, x, y, CAST(sum(value) AS DOUBLE) AS s FROM (SELECT * FROM ts0 WHERE x <> y UNION ALL SELECT cl_id, y, x, value FROM ts0 WHERE x <> y) GROUP BY ALL),
+te AS (SELECT cl_id, n, size, {'2 * n + u.e' if tips else 'n'} AS x FROM tm, unnest({turns}) AS u(e)),
+tg AS (SELECT a.cl_id, a.x, b.x AS y, a.size, coalesce(s, 0.0) AS s FROM te AS a JOIN te AS b ON a.cl_id = b.cl_id LEFT JOIN ts ON ts.cl_id = a.cl_id AND ts.x = a.x AND ts.y = b.x),
+tf AS (SELECT *, CASE WHEN s > 0 THEN -ln(s / max(s) OVER (PARTITION BY cl_id)) END AS f FROM tg),
+tw AS (SELECT *, coalesce(f, 1.2::DOUBLE * max(f) OVER (PARTITION BY cl_id), 0) AS w FROM tf WHERE cl_id IN (SELECT cl_id FROM ts WHERE s > 0)),
+td AS (SELECT cl_id, x, y, CASE WHEN max(w) OVER c = min(w) OVER c THEN 1 ELSE 1 + (w - min(w) OVER c) / (max(w) OVER c - min(w) OVER c) * (2147483647 / 2.0::DOUBLE / ({2 if tips else 1} * size) - 1) END AS d FROM tw WINDOW c AS (PARTITION BY cl_id)),
+step0 AS (SELECT cl_id, 1::BIGINT AS passed, 0::BIGINT AS last, 0 AS turned, 0.0::DOUBLE AS cost FROM tm WHERE n = 0 AND size * {2 if tips else 1} >= 3 AND cl_id IN (SELECT cl_id FROM td))"""]
+    for k in range(1, 8):
+        leave, enter = ("2 * p.last + 1 - p.turned", "2 * m.n + u.t") if tips else ("p.last", "m.n")
+        out.append(f"step{k} AS (SELECT p.cl_id, p.passed | (1::BIGINT << m.n) AS passed, m.n AS last, u.t AS turned, min(p.cost + d) AS cost FROM step{k - 1} AS p JOIN tm AS m ON m.cl_id = p.cl_id AND p.passed & (1::BIGINT << m.n) = 0 CROSS JOIN unnest({turns}) AS u(t) JOIN td ON td.cl_id = p.cl_id AND td.x = {leave} AND td.y = {enter} GROUP BY ALL)")
+    every = " UNION ALL ".join(f"SELECT * FROM step{k}" for k in range(8))
+    home = ("2 * p.last + 1 - p.turned", "0") if tips else ("p.last", "0")
+    own = " + coalesce((SELECT sum(o.d) FROM td AS o WHERE o.cl_id = p.cl_id AND o.x % 2 = 0 AND o.y = o.x + 1), 0)" if tips else ""  # the ends' own edges
+    out.append(f"closed AS (SELECT p.cl_id, size, min(cost + d){own} AS tour_length FROM ({every}) AS p JOIN (SELECT DISTINCT cl_id, size FROM tm) AS z ON z.cl_id = p.cl_id AND p.passed = (1::BIGINT << size) - 1 JOIN td ON td.cl_id = p.cl_id AND td.x = {home[0]} AND td.y = {home[1]} GROUP BY p.cl_id, size)")
+    return ",".join(out)
+
+
+def _tour_lengths(order: DataFrame) -> DataFrame:
+    return order.groupBy("cl_id").agg(F.countDistinct("seq_id").alias("size"), F.round(F.max("tour_length"), 1).alias("tour_length"))
+
+
+@query(sql(NATIONS, "reg AS (SELECT n_regionkey AS cl_id, n_nationkey AS seq_id FROM nation)", "cells AS (SELECT i, j, value, 0 AS k, 0 AS l FROM nat)", "mem AS (SELECT * FROM reg)", tours("cells", "mem", False), select="SELECT CAST(cl_id AS BIGINT) AS cl_id, size, round(tour_length, 1) AS tour_length FROM closed"))
 def tour_order(spark, d):
-    return ordering.ordered_clusters(_nations(spark, d), _regions(spark, d))
+    """The tours' lengths; a region has five nations, so they are the least there are."""
+    return _tour_lengths(ordering.ordered_clusters(_nations(spark, d), _regions(spark, d)))
 
 
-@query()
+@query(sql(*READ, TIP_CELLS, "cells AS (SELECT i, j, k, l, n AS value FROM tips)", "mem AS (SELECT seq_id // 8 AS cl_id, seq_id FROM seqs)", tours("cells", "mem", True), select="SELECT CAST(cl_id AS BIGINT) AS cl_id, size, round(tour_length, 1) AS tour_length FROM closed", tip=40_000))
 def tour_order_tips(spark, d):
     tips = _tips(spark, d).withColumn("value", F.col("n").cast("double")).drop("n")
-    members = proxies.sequences(spark, d).select(F.floor(F.col("seq_id") / 8).cast("int").alias("cl_id"), "seq_id")
-    return ordering.ordered_clusters(tips, members, tips=True)
+    members = _sequences(spark, d).select(F.floor(F.col("seq_id") / 8).cast("int").alias("cl_id"), "seq_id")
+    return _tour_lengths(ordering.ordered_clusters(tips, members, tips=True))
 
 
 @query()
@@ -763,13 +922,16 @@ def hierarchical_order(spark, d):
     return ordering.hierarchical_order(_edges(spark, d).where("src <> dst"))
 
 
-@query()
+@query(sql(NATION_NODES, select="SELECT nation, count(*) AS size, count(*) AS span FROM cn GROUP BY nation"))
 def graphical_order(spark, d):
-    return ordering.graphical_order(_edges(spark, d))
+    """Nations' nodes stand together in the order, each once."""
+    order = ordering.graphical_order(_cliques(spark, d))
+    of = table(spark, d, "supplier").select(F.explode(F.array(2 * F.col("s_suppkey"), 2 * F.col("s_suppkey") + 1)).alias("node"), F.col("s_nationkey").alias("nation"))
+    return of.join(order, "node", "left").groupBy("nation").agg(F.countDistinct("node").alias("size"), (F.max("rank") - F.min("rank") + 1).alias("span"))
 
 
 LIKELY = """
-base AS (SELECT grouped.*, CAST(coalesce(sum(length) OVER (ORDER BY seq_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS p FROM grouped WHERE seq_id < 40),
+base AS (SELECT grouped.*, CAST(coalesce(sum(length) OVER (ORDER BY seq_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS p FROM grouped),
 cb AS (SELECT seq_id, length, p, first_bin + u.k AS bin_id, edges[u.k + 1] + (edges[2] - edges[1]) / 2.0::DOUBLE - length / 2.0::DOUBLE AS center FROM base, unnest(range(0, n_bins)) AS u(k)),
 total AS (SELECT CAST(sum(CASE WHEN i = j THEN n ELSE 2 * n END) AS DOUBLE) AS t FROM contacts),
 cell AS (SELECT a.bin_id AS bi, b.bin_id AS bj, (b.p - a.p - a.length) + (a.length + b.length) / 2.0::DOUBLE + b.center - a.center AS d FROM cb AS a JOIN cb AS b ON a.seq_id < b.seq_id),
@@ -778,7 +940,7 @@ ex AS (SELECT coalesce(n, 0) AS n, t * CASE WHEN d < 500000 THEN 0.1221237744144
 
 @query(sql(*EXT, LIKELY, select="SELECT round(-sum(CASE WHEN n > 0 THEN n * ln(n / q) + q - n + 0.5 * ln(2 * pi() * n) ELSE q END), 3) AS log_likelihood FROM ex"))
 def log_likelihood(spark, d):
-    seqs = proxies.sequences(spark, d)
+    seqs = _sequences(spark, d)
     grouped = _grouped(spark, d)
     out = likelihood.log_likelihood(_extents(spark, d), _contacts(spark, d), order_state.initial(seqs), grouped)
     return out.select(F.round("log_likelihood", 3).alias("log_likelihood"))

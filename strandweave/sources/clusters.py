@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ParseError
+from ..functions.prefix import ranked
 
 
 def numbered_lines(spark: SparkSession, path: str, stop_at_blank: bool = True) -> DataFrame:
@@ -42,7 +43,7 @@ def read_tree(spark: SparkSession, path: str) -> DataFrame:
     module = F.regexp_replace(f[0], r":?[^:]*$", "")
     rows = rows.select(module.alias("_module"), F.element_at(f, -1).cast("int").alias("seq_id"))
     sizes = rows.groupBy("_module").count()
-    ids = sizes.select("_module", (F.row_number().over(Window.orderBy(F.desc("count"), "_module")) - 1).alias("cl_id"))
+    ids = ranked(sizes, [("count", False), ("_module", True)], "cl_id").select("_module", F.col("cl_id").cast("int").alias("cl_id"))
     return rows.join(ids, "_module").select("cl_id", "seq_id")
 
 
@@ -53,7 +54,8 @@ def read_tour(spark: SparkSession, path: str) -> tuple[dict[str, object], DataFr
     at = rows.where(F.col("line").startswith("TOUR_SECTION")).agg(F.min("n")).first()[0]
     if at is None:
         raise ParseError("there is no TOUR_SECTION")
-    head = rows.where(F.col("n") < at).select(F.regexp_extract("line", r"(\w+)[\s:=]+(\S+)", 1).alias("k"), F.regexp_extract("line", r"(\w+)[\s:=]+(\S+)", 2).alias("v")).where("k <> ''").collect()
+    # "KEY : VALUE", cut at the first colon
+    head = rows.where((F.col("n") < at) & F.col("line").contains(":")).select(F.split("line", ":", 2).alias("f")).select(F.trim(F.col("f")[0]).alias("k"), F.trim(F.col("f")[1]).alias("v")).collect()
     header = {r.k: int(r.v) if r.k == "DIMENSION" else r.v for r in head}
     body = rows.where((F.col("n") > at) & (F.expr("try_cast(line as int)") > 0))
     return header, body.select((F.col("n") - at - 1).cast("int").alias("rank"), (F.expr("try_cast(line as int)") - 1).alias("node"))
@@ -91,13 +93,13 @@ def parse_yaml_report(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).where(F.trim("line") != "")
     depth = F.length(F.regexp_extract("line", r"^( *)", 1))
     rows = rows.select("n", depth.alias("depth"), F.regexp_extract("line", r"^ *['\"]?(.*?)['\"]?:(?:\s|$)", 1).alias("key"), F.trim(F.regexp_extract("line", r":\s+(.*)$", 1)).alias("value"), F.trim("line").alias("item"))
-    levels = sorted(r[0] for r in rows.where("item not like '-%'").select("depth").distinct().limit(16).collect())
+    levels = [r[0] for r in rows.where("item not like '-%'").select("depth").distinct().orderBy("depth").limit(3).collect()]  # the three outer levels
     if len(levels) < 3:
         raise ParseError("the report isn't a map of sequences")
     w = Window.orderBy("n")
     name = F.last(F.when(F.col("depth") == levels[1], F.col("key")), True).over(w)
     field = F.last(F.when(F.col("depth") >= levels[2], F.when(F.col("item").startswith("- "), None).otherwise(F.col("key"))), True).over(w)
-    value = F.when(F.col("item").startswith("- "), F.trim(F.substring("item", 3, 100))).otherwise(F.when(F.col("value") != "", F.col("value")))
+    value = F.when(F.col("item").startswith("- "), F.trim(F.expr("substring(item, 3)"))).otherwise(F.when(F.col("value") != "", F.col("value")))
     rows = rows.select("n", name.alias("name"), field.alias("field"), value.alias("value"), (F.col("depth") >= levels[2]).alias("_in") | F.col("item").startswith("- "))
     rows = rows.toDF("n", "name", "field", "value", "inner").where("inner and value is not null")
     pick = lambda f: F.max(F.when(F.col("field") == f, F.col("value")))
