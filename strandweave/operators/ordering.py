@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..deploy import ship
-from ..errors import TooFewError
+from ..errors import TooFewError, UnsupportedError
 from ..tables import written
 from .community import Graph, louvain_labels
+from .reports import eligible
 
 #: The largest distance that a 32-bit tour solver takes, before it is shared out.
 LARGEST = 2**31 - 1
@@ -227,7 +228,7 @@ def ordered_clusters(cells: DataFrame, members: DataFrame, clusters: DataFrame |
     """
     ship(cells.sparkSession)
     if clusters is not None:
-        kept = clusters.where((F.col("extent") >= min_extent) & (F.col("size") >= min_size)).select("cl_id")
+        kept = eligible(clusters, min_extent, min_size).select("cl_id")
         members = members.join(kept, "cl_id", "left_semi")
     rows = cells
     for x in ("i", "j"):
@@ -329,8 +330,16 @@ def leaf_order(rows: np.ndarray, merges: list[tuple[int, int, float]], optimal:
     return out
 
 
+#: Nodes of a graph that is ordered as a whole, in one task's memory, at most: its matrix has their square.
+WHOLE_NODES = 20_000
+
+
 def _whole(edges: DataFrame, order: Callable[[pd.DataFrame], list[int]], by: str | None) -> DataFrame:
     ship(edges.sparkSession)
+    if by is None:
+        n = edges.select(F.explode(F.array("src", "dst")).alias("u")).distinct().count()
+        if n > WHOLE_NODES:
+            raise UnsupportedError(f"{n} nodes are ordered by their clusters, not as a whole (by=)")
     rows = edges if by else edges.withColumn("cl_id", F.lit(0))
     key = by or "cl_id"
 

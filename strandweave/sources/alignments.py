@@ -8,6 +8,7 @@ range, so pairing shuffles by name.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -71,25 +72,37 @@ def _opened(path: str):
     return system.open_input_file(inner)
 
 
-def block_starts(file) -> list[int]:
-    """Offsets of the BGZF blocks, and of the end."""
-    out, at = [], 0
-    while True:
+def _is_block(head: bytes, at: int = 0) -> bool:
+    return head[at : at + 4] == b"\x1f\x8b\x08\x04" and head[at + 12 : at + 14] == b"BC"
+
+
+def next_block(file, start: int, end: int) -> int:
+    """Offset of the first BGZF block from start on, below end; end if there is none.  A block is told by its header and that of its successor."""
+    at, window = start, b""
+    while at < end:
         file.seek(at)
-        head = file.read(18)
-        if len(head) < 18:
-            return [*out, at]
-        if head[:4] != b"\x1f\x8b\x08\x04" or head[12:14] != b"BC":
-            raise ValueError("no BGZF block")
-        out.append(at)
-        at += struct.unpack_from("<H", head, 16)[0] + 1
+        window = file.read(1 << 17)
+        for found in re.finditer(rb"\x1f\x8b\x08\x04", window):
+            k = found.start()
+            if at + k >= end or k + 18 > len(window):
+                break
+            if not _is_block(window, k):
+                continue
+            file.seek(at + k + struct.unpack_from("<H", window, k + 16)[0] + 1)
+            after = file.read(18)
+            if not after or _is_block(after):
+                return at + k
+        at += max(1, len(window) - 17)
+        if len(window) < 18:
+            break
+    return end
 
 
 class Blocks:
     """Bytes of consecutive blocks from a file offset on."""
 
     def __init__(self, file, start: int) -> None:
-        self.file, self.at, self.data, self.starts = file, start, b"", []
+        self.file, self.at, self.data, self.starts = file, start, bytearray(), []
 
     def need(self, n: int) -> bool:
         """Whether n bytes could be had."""
@@ -98,6 +111,8 @@ class Blocks:
             head = self.file.read(18)
             if len(head) < 18:
                 return False
+            if not _is_block(head):
+                raise ValueError("no BGZF block")
             size = struct.unpack_from("<H", head, 16)[0] + 1
             self.file.seek(self.at)
             self.starts.append((len(self.data), self.at))
@@ -146,7 +161,7 @@ class Range(InputPartition):
     end: int
     skip: int
     n_refs: int
-    first: bool
+    number: int
 
 
 class BamReader(DataSourceReader):
@@ -159,34 +174,32 @@ class BamReader(DataSourceReader):
         if order != ["queryname"]:
             raise SortOrderError(f"the sort order must be queryname, not {order[0] if order else 'unknown'}")
         with _opened(self.path) as file:
-            starts = block_starts(file)
+            file.seek(0, 2)
+            size = file.tell()
             b = Blocks(file, 0)
             b.need(header + 1)
-        # the block in which the first record starts
-        inner = [(o, f) for o, f in b.starts if o <= header]
-        offset, first = inner[-1]
-        out, at = [], first
-        for s in [x for x in starts[:-1] if x > first]:
-            if s - at >= RANGE_BYTES:
-                out.append((at, s))
-                at = s
-        out.append((at, starts[-1]))
-        return [Range(self.path, a, e, header - offset if a == first else 0, len(refs), a == first) for a, e in out]
+        # the block in which the first record starts; each range looks for its own first block
+        offset, first = [(o, f) for o, f in b.starts if o <= header][-1]
+        cuts = [first, *range((first // RANGE_BYTES + 1) * RANGE_BYTES, size, RANGE_BYTES), size]
+        return [Range(self.path, a, e, header - offset if a == first else 0, len(refs), k) for k, (a, e) in enumerate(zip(cuts, cuts[1:], strict=False))]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         with _opened(part.path) as file:
-            b = Blocks(file, part.start)
+            b = Blocks(file, next_block(file, part.start, part.end) if part.number else part.start)
+            if b.at >= part.end:
+                return
             at = part.skip
-            if not part.first:
+            if part.number:
                 if not b.need(1):
                     return
                 at = next((i for i in range(1 << 28) if not b.need(i + 36) or _plausible(b, i, part.n_refs)), 0)
-            done = 0  # bytes dropped from the front
+            block = count = 0
             while b.need(at + 4):
-                # a record belongs to the range in which its first byte lies
-                block = [f for o, f in b.starts if o <= at][-1]
-                if block >= part.end:
+                # a record belongs to the range in which its first byte's block lies
+                while block + 1 < len(b.starts) and b.starts[block + 1][0] <= at:
+                    block += 1
+                if b.starts[block][1] >= part.end:
                     break
                 size = struct.unpack_from("<i", b.data, at)[0]
                 if not b.need(at + 4 + size):
@@ -194,12 +207,12 @@ class BamReader(DataSourceReader):
                 ref, pos, name, mapq, _, ops, flag, _, _, _, _ = struct.unpack_from("<iiBBHHHiiii", b.data, at + 4)
                 own = b.data[at + 36 : at + 35 + name].decode()
                 cigar = [{"op": c & 15, "len": c >> 4} for c in struct.unpack_from(f"<{ops}I", b.data, at + 36 + name)]
-                rows.append(((part.start << 24) + done + at, own, flag, ref, pos, mapq, cigar, sum(c["len"] for c in cigar if c["op"] in ON_REFERENCE)))
-                at += 4 + size
+                rows.append(((part.number << 40) + count, own, flag, ref, pos, mapq, cigar, sum(c["len"] for c in cigar if c["op"] in ON_REFERENCE)))
+                at, count = at + 4 + size, count + 1
                 if at > 1 << 22:
-                    b.data = b.data[at:]
-                    b.starts = [(o - at, f) for o, f in b.starts]
-                    done, at = done + at, 0
+                    del b.data[:at]
+                    b.starts = [(o - at, f) for o, f in b.starts[block:]]
+                    at = block = 0
                 if len(rows) == 20_000:
                     yield _batch(rows)
                     rows = []
@@ -227,7 +240,7 @@ class BamDataSource(DataSource):
 
 
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of a BAM file sorted by query name."""
+    """Alignments of a BAM file sorted by query name; ord is the range's number and, in 40 bits, the record's number in it."""
     ship(spark).dataSource.register(BamDataSource)
     return spark.read.format("bam").load(path)
 

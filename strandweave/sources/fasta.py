@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequence import count_sites, tip_sites
@@ -34,3 +36,24 @@ def counted_sequences(fasta: DataFrame, enzymes: list[str], min_len: int = 0, ti
 def lookup(fasta: DataFrame, names: DataFrame) -> DataFrame:
     """Records of some names (name): a join in place of an index."""
     return fasta.join(names.select(F.col("name").alias("id")), "id", "left_semi")
+
+
+class IndexedSequences:
+    """Keyed access to the records of a FASTA table: each look-up is a filter that Spark pushes down, so nothing is built or held."""
+
+    def __init__(self, fasta: DataFrame) -> None:
+        self.fasta = fasta
+
+    def __getitem__(self, name: str) -> Row:
+        """(id, description, seq) of the record; a KeyError where there is none."""
+        found = self.fasta.where(F.col("id") == name).first()
+        if found is None:
+            raise KeyError(name)
+        return found
+
+    def __len__(self) -> int:
+        return self.fasta.count()
+
+    def __iter__(self) -> Iterator[str]:
+        """Names, partition by partition."""
+        return (r.id for r in self.fasta.select("id").toLocalIterator())

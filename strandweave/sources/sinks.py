@@ -14,11 +14,11 @@ from collections.abc import Iterable, Iterator
 from typing import IO, Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..deploy import ship
-from ..errors import NoReportError, UnknownOrientationError
+from ..errors import NoReportError, UnknownOrientationError, UnsupportedError
 from ..functions.sequence import reverse_complement
 from ..operators.reports import mcl_lines, numbered_members
 
@@ -82,16 +82,45 @@ def write_copies(df: DataFrame, paths: Iterable[str], kind: str = "plain", **mor
 
 
 def dump_object(data: Any, kind: str = "json") -> str:
-    """A small value as JSON, or YAML in its JSON-compatible flow style, or plain text."""
-    if kind in ("json", "yaml"):
+    """A small value as JSON, block-style YAML, or plain text."""
+    if kind == "json":
         return json.dumps(data, indent=1)
+    if kind == "yaml":
+        return "\n".join(_yaml(data)) + "\n"
     if kind == "plain":
         return f"{data}\n"
     raise ValueError(f"{kind}: the kinds are json, yaml and plain")
 
 
-def load_object(text: str) -> Any:
-    return json.loads(text)
+def _yaml(data: Any) -> list[str]:
+    """Lines of block-style YAML; scalars and empty collections are written as JSON, which YAML holds."""
+    if isinstance(data, dict) and data:
+        out = []
+        for key, value in data.items():
+            lines, head = _yaml(value), f"{json.dumps(key if isinstance(key, str) else str(key))}:"
+            nested = isinstance(value, (dict, list)) and value
+            out += [head, *(f"  {x}" for x in lines)] if nested else [f"{head} {lines[0]}"]
+        return out
+    if isinstance(data, list) and data:
+        out = []
+        for value in data:
+            first, *rest = _yaml(value)
+            out += [f"- {first}", *(f"  {x}" for x in rest)]
+        return out
+    return [json.dumps(data)]
+
+
+def load_object(text: str, kind: str = "json") -> Any:
+    """A small value from JSON, or from YAML where PyYAML is installed."""
+    if kind == "json":
+        return json.loads(text)
+    if kind != "yaml":
+        raise ValueError(f"{kind}: the kinds are json and yaml")
+    try:
+        import yaml
+    except ImportError:
+        raise UnsupportedError("reading YAML takes PyYAML") from None
+    return yaml.safe_load(text)
 
 
 def write_report(report: DataFrame | None, path: str, mode: str = "errorifexists") -> None:
@@ -118,10 +147,20 @@ def write_edges(edges: DataFrame, path: str, sep: str = " ", mode: str = "errori
     edges.select("src", "dst", "weight").write.mode(mode).option("sep", sep).csv(path)
 
 
+#: Members in a graph element at most.
+GRAPH_ROWS = 10_000
+
+
 def write_graphml(partition: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Edges from communities to their nodes, as GraphML edge elements."""
-    edges = partition.select(F.concat(F.lit("c"), "cl_id").alias("_source"), F.col("node").cast("string").alias("_target"), F.lit(1.0).alias("data"))
-    edges.write.mode(mode).format("xml").option("rootTag", "graph").option("rowTag", "edge").save(path)
+    """Edges from communities to their nodes: GraphML documents with a directed graph for each community (several for one of many nodes)."""
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.count("*").over(Window.partitionBy("cl_id")) / GRAPH_ROWS))
+    rows = partition.select(F.concat(F.lit("c"), "cl_id").alias("c"), F.col("node").cast("string").alias("node"), part.alias("part"))
+    graphs = rows.groupBy("c", "part").agg(F.array_sort(F.collect_list("node")).alias("members"))
+    ids = F.concat(F.array("c"), "members")
+    node = F.transform(ids, lambda x: F.struct(x.alias("_id")))
+    edge = F.transform("members", lambda x: F.struct(F.col("c").alias("_source"), x.alias("_target")))
+    graphs = graphs.select(F.concat("c", F.lit("."), "part").alias("_id"), F.lit("directed").alias("_edgedefault"), node.alias("node"), edge.alias("edge"))
+    graphs.write.mode(mode).format("xml").option("rootTag", 'graphml xmlns="http://graphml.graphdrawing.org/xmlns"').option("rowTag", "graph").save(path)
 
 
 def write_tour_problem(distance: Any, base: str, fixed: list[tuple[int, int]] | None = None, runs: int = 5, seed: int = 1, trials: int | None = None) -> None:

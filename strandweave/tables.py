@@ -10,10 +10,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import UnsupportedError
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder of this name under spark.checkpoint.dir; a folder in /tmp only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints"
+    """A new folder of this name under spark.checkpoint.dir; where none is set, one in /tmp on a single machine, and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith(("local[", "local-cluster[")) and spark.sparkContext.master != "local":
+            raise UnsupportedError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "/tmp/checkpoints"
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
