@@ -337,7 +337,7 @@ def repeated_spans(table: DataFrame, text_at: int, id_at: int) -> DataFrame:
         r, s0, s1 = r[order], s0[order], s1[order]
         who, cut = np.unique(block[r], return_index=True)
         base = start[r] + shift[r]
-        data = [_pack(row[r[a:b]], base[a:b] - s1[a:b], base[a:b] - s0[a:b] + WINDOW) for a, b in zip(cut, [*cut[1:], len(r)], strict=True)]
+        data = [_pack(row[r[a:b]], base[a:b] - s1[a:b], base[a:b] - s0[a:b] + WINDOW) for a, b in zip(cut, np.append(cut[1:], len(r))[: len(cut)], strict=True)]
         return pa.concat_tables([settled, pa.table({"block": pa.array(who, pa.int64()), "spans": pa.array(data, pa.binary())})])
 
     # spans that are settled go along, so that what is found is made once and needn't be kept

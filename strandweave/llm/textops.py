@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..deploy import ship
+from ..tables import shared_folder
 
 SLICE_BYTES = 1 << 22
 BATCH_BYTES = 8 << 20
@@ -38,7 +39,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared folder of spark.checkpoint.dir and read back; a folder is set only where none is."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or "/tmp/checkpoints")
+        sc.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint()
 
 

@@ -101,6 +101,63 @@ def test_simhash(spark, docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("split", [4, 4096])
+def test_hot_fingerprints_and_crowded_blocks(spark, monkeypatch, split):
+    """A third of all rows in one fingerprint, and blocks that are split again."""
+    monkeypatch.setattr(simhash, "SPLIT", split)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 6, dtype=np.int64).astype(np.uint64)
+    fp = base[rng.integers(0, 6, 400)]
+    for _ in range(3):
+        fp = fp ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
+    fp = np.unique(np.concatenate((fp, base)))
+    prints = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+    got = {r.v: r.root for r in components.components(simhash.linked(prints)).collect()}
+    want = groups(range(len(fp)), lambda a, b: int(fp[a] ^ fp[b]).bit_count() <= 2)
+    value = fp.view(np.int64).tolist()
+    parts = lambda pairs: sorted(sorted(a for a, r in pairs if r == root) for root in {r for _, r in pairs})
+    assert parts([(v, got.get(v, v)) for v in value]) == parts([(value[i], value[r]) for i, r in want.items()])
+    rows = [(i, "one hot text of many rows", "x") for i in range(400)] + [(1000 + i, f"text {i} has words {i * 7} of its own {i * 31}", "y") for i in range(800)]
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n string")).collect()}
+    assert len(found) == 1200 and {found[i] for i in range(400)} == {0}
+
+
+def similarity(a, b):
+    sets = [{" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (lowered_words(a), lowered_words(b))]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def lowered_words(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+def test_representatives_of_near_copies(spark, none):
+    rng = random.Random(6)
+    line = lambda n: [f"{rng.choice(WORDS)}{rng.randrange(400)}" for _ in range(n)]
+    rows = [(i, " ".join(line(rng.randrange(60, 400)))) for i in range(150)]
+    for k in range(300):
+        words = rows[k % 60][1].split()
+        for _ in range(rng.randrange(0, 1 + len(words) // 60)):
+            words[rng.randrange(len(words))] = f"changed{rng.randrange(10**6)}"
+        rows.append((1000 + k, " ".join(words)))
+    rows += [(3000, ""), (3001, None), (3002, "  "), (3003, "two words"), (3004, "Two  words"), (None, rows[0][1]), rows[5], (3005, "long " * 200_000), (3006, "long " * 200_000)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, v string, w0 string")
+    got = [r.doc_id for r in simhash.representatives(docs.repartition(5)).collect()]
+    assert len(got) == len(set(got)) and {3000, 3003, 3005} <= set(got) and not {3001, 3002, 3004, 3006, None} & set(got)
+    assert set(range(150)) <= set(got)  # texts of their own stay
+    near = [k for k in range(300) if similarity(rows[150 + k][1], rows[k % 60][1]) >= 0.8]
+    assert len(near) > 200 and sum(1000 + k not in got for k in near) >= 0.95 * len(near)
+    assert simhash.representatives(none).count() == 0
+
+
+def test_samples_meet():
+    share = simhash.distance_of(0.8)
+    for n in (10, 10**6, 10**10):
+        masks = simhash.samples_of(n, share)
+        bits = {sum(x.bit_count() for x in m) for m in masks}
+        assert len(bits) == 1 and 1 - (1 - (1 - share) ** bits.copy().pop()) ** len(masks) >= 0.95
+
+
 def test_long_texts_count_in_parts():
     h = np.random.default_rng(1).integers(0, 2**63, 150_001, dtype=np.int64).astype(np.uint64)
     bits = ((h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(bool)

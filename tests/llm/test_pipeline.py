@@ -3,11 +3,14 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tests.llm.test_operators import WORDS, fingerprint, groups, lowered, removed
+from strandweave.llm import simhash
+from tests.llm.test_operators import WORDS, groups, lowered, removed
 
 
 @pytest.fixture(scope="module")
@@ -46,8 +49,8 @@ def test_stages(spark, folder):
     clean = {i for i in range(300) if not (kept.get(i) or "x!!").endswith("!!")}
     assert len(clean) >= 235
     once = stages["SimHash near-dedup"](spark, good, path).persist()
-    prints = {i: fingerprint(t) for i, t in kept.items()}
-    want = groups(sorted(kept), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    prints = {i: simhash.wide_fingerprints(pa.array([t]), 5)[0] for i, t in kept.items()}
+    want = groups(sorted(kept), lambda a, b: int(np.bitwise_count(prints[a] ^ prints[b]).sum()) <= 45)
     assert sorted(r.doc_id for r in once.collect()) == sorted(set(want.values()))
     cut = stages["suffix-array dedup"](spark, once, path).persist()
     rows = once.orderBy("doc_id").collect()
@@ -69,3 +72,29 @@ def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder[0])
     assert out.agg(F.sum("length")).first()[0] > 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+CLASHING = "quality_score string, repeats string, hits int, stays int, w0 string, id string, label int, n string"
+
+
+def test_empty_tables_and_clashing_columns(spark, folder, tmp_path):
+    path = str(tmp_path)
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, " + CLASHING)
+    for name, rows in (("documents", empty), ("labels", spark.createDataFrame([], "doc_id long, quality int, toxic int")), ("benchmark", spark.createDataFrame([], "item_id long, text string"))):
+        rows.write.parquet(f"{path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, path).count() == 0
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    more = docs.select("*", *[F.lit(k).cast(x.split()[1]).alias(x.split()[0]) for k, x in enumerate(CLASHING.split(", "))])
+    more = more.union(more.where("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit("words of a text without an id")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain = stage(spark, docs, folder[0]).persist()
+        got = stage(spark, more, folder[0]).persist()
+        assert got.columns == more.columns, name
+        assert sorted(got.where("doc_id is not null").select("doc_id", "text").collect(), key=str) == sorted(plain.select("doc_id", "text").collect(), key=str), name
+        assert got.where("w0 = '4' and label = 6").count() == got.count()
+
+
+def test_all_texts_null(spark, folder):
+    docs = spark.createDataFrame([(i, None, None, None, None) for i in range(5)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [stage(spark, docs, folder[0]).count() for _, stage in corpus_pipeline.STAGES[1:4]]
+    assert kept == [1, 5, 5]
