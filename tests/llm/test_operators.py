@@ -453,6 +453,30 @@ def test_alignment():
         assert all(a[i] in rest for i in got)
 
 
+@pytest.mark.parametrize("bits", [1, 64, 1 << 28])
+def test_alignment_in_halves(monkeypatch, bits):
+    monkeypatch.setattr(pagediff, "TABLE_BITS", bits)
+    test_alignment()
+
+
+def test_alignment_of_many_equal_lines():
+    """Ten thousand equal lines between different ends, and long pages of few different lines."""
+    a, b = [1, *[5] * 10_000, 2], [3, *[5] * 9_000, 4]
+    assert len(pagediff.common(a, b)) == 9_000
+    rng = random.Random(2)
+    a, b = ([rng.randrange(3) for _ in range(4_000)] for _ in range(2))
+    got = pagediff.common(a, b)
+    rest = iter(b)
+    assert len(got) > 2_400 and all(a[i] in rest for i in got)
+
+
+def test_pages_with_clashing_columns_and_long_html(spark):
+    rows = [(i, f"http://h.example/{i}", f"<p>own {i}</p><p>same</p>", "x", 1) for i in range(6)] + [(9, "http://h.example/9", "<p>" + "long word " * 150_000 + "</p>" + "<p>tied</p>" * 3_000, "y", 2)]
+    got = {r.page_id: r for r in pagediff.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, host string, range int")).collect()}
+    assert {i: r.text for i, r in got.items() if i < 6} == {i: f"own {i}" for i in range(6)}
+    assert got[9].n_chars == len("long word " * 150_000) - 1 + 5 * 3_000
+
+
 def test_differencing(spark):
     template = lambda i: f"<div>Menu of the site</div><p>story {i} is long and its own</p><p>more of {i}</p><p>and {i} ends</p><div>All rights kept</div>"
     rows = [(i, f"http://h.example/a/{i:02}", template(i)) for i in range(20)]
