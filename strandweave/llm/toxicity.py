@@ -7,7 +7,8 @@ documents (SAMPLE, whole texts).  The score sees the text only.  Its intercept p
 that a first model isn't trained on, at THRESHOLD; thresholds by language are calibrated there, too: decisions() reads the language
 column beside a score, not for it.
 
-Edge cases: null and empty texts have no words and get the score of an empty text; repeated rows get equal scores; without
+Edge cases: null and empty texts have no words and get the score of an empty text; repeated rows get equal scores, up to the rounding of
+single precision; without
 labels of both kinds the score is the constant share of label 1, or 0.5; a language without enough labels of both kinds
 has the threshold of all languages.  A null id is in neither fold (held_out is false there) and is scored; other columns are carried along.
 """
