@@ -46,7 +46,10 @@ def word_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def padded(rows: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words with as many empty ones after each text as the widest filter reaches over, and the new bounds."""
+    """Words with as many empty ones after each text as the widest filter reaches over, and the new bounds.
+
+    Windows begin at a text's words, or at the first empty one behind them: those reach into no other text.
+    """
     tail = max(WIDTHS)
     n = np.diff(bounds)
     cut = np.concatenate(([0], np.cumsum(n + tail)))
@@ -82,7 +85,9 @@ class Model:
             for k in range(1, len(f)):
                 value += x[k : len(rows) + k] @ f[k]
             maps.append(value)
-        top = np.concatenate([np.maximum.reduceat(m, cut[:-1], axis=0) for m in maps], 1) if len(cut) > 1 else np.zeros((0, len(self.bias)), np.float32)
+        # each text's windows, and between them those that reach into the next text
+        spans = np.stack((cut[:-1], cut[1:] - max(WIDTHS) + 1), 1).ravel()
+        top = np.concatenate([np.maximum.reduceat(m, spans, axis=0)[::2] for m in maps], 1) if len(cut) > 1 else np.zeros((0, len(self.bias)), np.float32)
         return top, maps
 
     def score(self, rows: np.ndarray, cut: np.ndarray) -> np.ndarray:
@@ -107,7 +112,7 @@ class Model:
                 moved, change = [], []
                 for j, (f, m) in enumerate(zip(self.filters, maps, strict=True)):
                     part = back[:, j * FILTERS : (j + 1) * FILTERS]
-                    where = np.stack([a + m[a:b].argmax(0) for a, b in zip(cut[:-1], cut[1:], strict=True)])
+                    where = np.stack([a + m[a:b].argmax(0) for a, b in zip(cut[:-1], cut[1:] - max(WIDTHS) + 1, strict=True)])
                     for k in range(len(f)):
                         word = rows[np.minimum(where + k, len(rows) - 1)]
                         vector = self.embedding[word[..., 0]] + self.embedding[word[..., 1]]
