@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import written
 from .textops import LOWER, U64, HashIndex, Rolling, flat, ranges, runs, slices, tidied, tuned
 
 #: Words of a phrase; bytes of test items in one pass; distance of sampled suffix positions.
@@ -111,8 +112,8 @@ class FMIndex:
             self.zeros.append(int(n - self.ones[-1][-1]))
             row = np.concatenate((row[~bit], row[bit]))
         base = np.zeros(high + 3, np.int64)  # where a symbol's run starts on the last level
-        for c in np.flatnonzero(counts):
-            base[c] = self._down(np.array([c]), np.array([0]))[0]
+        there = np.flatnonzero(counts)
+        base[there] = self._down(there, np.zeros(len(there), np.int64))
         self.base = base
         self.marked = sa % sample == 0
         self.marked_rank = np.cumsum(self.marked) - 1
@@ -199,6 +200,8 @@ def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", item: s
         phrases.item = np.array([number[x] for x in phrases.ids], np.int64)[phrases.item] if rows else np.zeros(0, np.int64)
         phrases.ids = ids
         out = out.mapInArrow(tidied(_searcher(phrases, at, cut and k == passes - 1)), schema)
+        if k < passes - 1:  # a pass's phrases go before the next come
+            out = written(out)
     return out.toDF(*names, into)
 
 
