@@ -119,7 +119,7 @@ def packed(docs: DataFrame, text: str = "text", id_: str = "doc_id", tokenizer:
         machine = Encoded.of(tokenizer)
         pairs = split.copy().view([("k", np.int64), ("i", np.int64)]).ravel() if len(split) else None
         for batch in batches:
-            for piece in slices(batch, "text", 1 << 22):
+            for piece in slices(batch, "text"):
                 ids, cut, h, bounds = machine.encode(piece.column("text"))
                 key, doc = curve_keys(h, bounds), piece.column("id").fill_null(_NONE).to_numpy()
                 n = np.diff(cut)

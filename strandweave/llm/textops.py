@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..deploy import ship
 from ..tables import shared_folder
 
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 BATCH_BYTES = 8 << 20
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
