@@ -37,7 +37,8 @@ def first_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """Of each group of near copies (five-word shingles, a similarity of 0.8 at least), the document with the smallest id."""
     stays = fresh(docs, "stays")
     ids = written(simhash.representatives(docs).select(F.col("doc_id").alias(stays)))
-    kept = docs.where("doc_id is not null").join(ids, F.col("doc_id").cast("long") == F.col(stays), "left_semi")
+    # texts are hashed to the ids that stay at every size, not sorted
+    kept = docs.where("doc_id is not null").join(ids.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col(stays), "left_semi")
     # rows that repeat an id are rare enough to look first
     if kept.count() > ids.count():
         kept = kept.dropDuplicates(["doc_id"])
