@@ -917,9 +917,46 @@ def tour_order_tips(spark, d):
     return _tour_lengths(ordering.ordered_clusters(tips, members, tips=True))
 
 
-@query()
+def linked_leaves() -> str:
+    """SQL of Ward merges of nations' rows within regions (five leaves at most), and of the cheapest order that each tree allows."""
+    out = ["""
+hw AS (SELECT a.n_regionkey AS r, i, j, value / (SELECT max(value) FROM nat) AS w FROM nat JOIN nation AS a ON a.n_nationkey = i JOIN nation AS b ON b.n_nationkey = j AND a.n_regionkey = b.n_regionkey WHERE i <> j),
+hs AS (SELECT r, i, j, w FROM hw UNION ALL SELECT r, j, i, w FROM hw),
+hn AS (SELECT DISTINCT r, i AS n FROM hs),
+hg AS (SELECT a.r, a.n AS i, b.n AS j, coalesce(w, 0) AS w FROM hn AS a JOIN hn AS b ON a.r = b.r LEFT JOIN hs ON hs.i = a.n AND hs.j = b.n),
+leaf AS (SELECT a.r, a.i AS x, b.i AS y, sum(abs(a.w - b.w)) AS d FROM hg AS a JOIN hg AS b ON a.r = b.r AND a.j = b.j WHERE a.i <> b.i GROUP BY ALL),
+hd0 AS (SELECT r, [x] AS x, [y] AS y, d FROM leaf)"""]
+    for k in range(4):
+        out.append(f"hm{k} AS (SELECT r, x, y, d FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY d, x, y) AS rn FROM hd{k} WHERE x < y) WHERE rn = 1)")
+        new = "sqrt(greatest(0, ((len(m.x) + len(p.y)) * p.d * p.d + (len(m.y) + len(p.y)) * q.d * q.d - len(p.y) * m.d * m.d) / (len(m.x) + len(m.y) + len(p.y))))"
+        made = f"SELECT m.r, list_sort(m.x || m.y) AS u, p.y AS c, {new} AS d FROM hm{k} AS m JOIN hd{k} AS p ON p.r = m.r AND p.x = m.x AND p.y <> m.y JOIN hd{k} AS q ON q.r = m.r AND q.x = m.y AND q.y = p.y"
+        out.append(f"hu{k} AS ({made})")
+        out.append(f"hd{k + 1} AS (SELECT e.* FROM hd{k} AS e JOIN hm{k} AS m ON e.r = m.r WHERE e.x NOT IN (m.x, m.y) AND e.y NOT IN (m.x, m.y) UNION ALL SELECT r, u, c, d FROM hu{k} UNION ALL SELECT r, c, u, d FROM hu{k})")
+    out.append("sets AS (" + " UNION ALL ".join(f"SELECT r, x || y AS s FROM hm{k}" for k in range(4)) + ")")
+    out.append("way0 AS (SELECT r, [n] AS p, 0.0::DOUBLE AS cost FROM hn)")
+    for k in range(1, 5):
+        out.append(f"way{k} AS (SELECT w.r, list_append(p, y) AS p, cost + d AS cost FROM way{k - 1} AS w JOIN leaf ON leaf.r = w.r AND x = p[{k}] WHERE NOT list_contains(p, y))")
+    every = " UNION ALL ".join(f"SELECT * FROM way{k}" for k in range(5))
+    out.append(f"best AS (SELECT w.r, len(p) AS size, min(cost) AS cost FROM ({every}) AS w WHERE len(p) = (SELECT count(*) FROM hn WHERE hn.r = w.r) AND NOT EXISTS (SELECT 1 FROM sets WHERE sets.r = w.r AND list_max(list_transform(s, lambda e: list_position(p, e))) - list_min(list_transform(s, lambda e: list_position(p, e))) + 1 <> len(s)) GROUP BY ALL)")
+    return ",".join(out)
+
+
+@query(sql(NATIONS, linked_leaves(), select="SELECT CAST(r AS BIGINT) AS cl_id, size, round(cost, 5) AS cost FROM best"))
 def hierarchical_order(spark, d):
-    return ordering.hierarchical_order(_edges(spark, d).where("src <> dst"))
+    """Regions' nations in the order of their trees' leaves: the sum of city-block distances of neighbouring rows, which is the least that the tree allows."""
+    of = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"), F.col("n_regionkey").alias("cl_id"))
+    edges = written(_edges(spark, d).where("src <> dst"))
+    for x in ("src", "dst"):
+        edges = edges.join(of.select(F.col("node").alias(x), F.col("cl_id").alias(f"c_{x}")), x)
+    edges = written(edges.where("c_src = c_dst").select(F.col("c_src").alias("cl_id"), "src", "dst", "weight"))
+    order = written(ordering.hierarchical_order(edges, by="cl_id"))
+    both = edges.select("cl_id", F.col("src").alias("u"), F.col("dst").alias("v"), "weight").union(edges.select("cl_id", "dst", "src", "weight"))
+    steps = order.withColumn("to", F.lead("node").over(Window.partitionBy("cl_id").orderBy("rank"))).where("to is not null")
+    cells = steps.join(order.select("cl_id", F.col("node").alias("v")), "cl_id")
+    for x, name in (("node", "a"), ("to", "b")):
+        cells = cells.join(both.select("cl_id", F.col("u").alias(x), "v", F.col("weight").alias(name)), ["cl_id", x, "v"], "left")
+    cost = cells.groupBy("cl_id").agg(F.sum(F.abs(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0)))).alias("cost"))
+    return order.groupBy("cl_id").agg(F.countDistinct("node").alias("size")).join(cost, "cl_id").select("cl_id", "size", F.round("cost", 5).alias("cost"))
 
 
 @query(sql(NATION_NODES, select="SELECT nation, count(*) AS size, count(*) AS span FROM cn GROUP BY nation"))
