@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..tables import written
-from .textops import LOWER, U64, HashIndex, Rolling, flat, ranges, runs, slices, tidied, tuned
+from .textops import LOWER, HashIndex, Rolling, flat, ranges, runs, slices, tidied, tuned
 
 #: Words of a phrase; bytes of test items in one pass; distance of sampled suffix positions.
 PHRASE, ITEM_BYTES, SAMPLE = 8, 16 << 20, 4

@@ -21,7 +21,6 @@ rows with equal ids are ordered by block and row; an empty table gives an empty
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from collections.abc import Iterator
 
