@@ -1,7 +1,6 @@
 """Packing of documents into training sequences along a space-filling curve.
 
-Pieces of a document, and each character that the tokenizer's transducer leaves to the library (emoji, marks, code points from
-U+2E80), are hashed into a signed count vector, which is scaled to length one and projected to four dimensions;
+Pieces of a document, and each character that the tokenizer's lexer leaves to the library (it has no sure class), are hashed into a signed count vector, which is scaled to length one and projected to four dimensions;
 its cell's Hilbert key orders documents so that neighbours are alike.  Keys are range-sorted by splitters from a sample
 of documents, and each range is cut into sequences along the curve: a document that doesn't fit goes on in the next one,
 and the rest of a range is cut into powers of two, so no sequence needs padding.

@@ -196,7 +196,7 @@ class HashIndex:
         """Adds distinct keys that aren't there yet, in their order."""
         self.order.append(h)
         if 2 * (self.count + len(h)) > len(self.keys):
-            bits = int(2 * (self.count + len(h))).bit_length() + 1
+            bits = int(2 * (self.count + len(h))).bit_length()
             self.keys, self.slots = np.zeros(1 << bits, U64), np.full(1 << bits, -1, np.int32)
             every = np.concatenate(self.order)
             self.order, self.count = [every], 0

@@ -3,21 +3,28 @@
 The tokenizer file's pre-tokenizer becomes a deterministic lexer over seven character classes (three of them look one or
 two characters ahead, for contractions).  Text is cut into chunks; each chunk's map from states to states is found for all
 states at once, the maps are composed by a parallel prefix scan, and with its entry state known each chunk marks where
-pieces start.  The merge rules are no transducer: a piece goes through them once for each worker, and its token count is kept in
-a table that pieces are looked up in by a 64-bit hash.
+pieces start.
 
-Texts with a character outside the compiled range (marks, characters that normalisation would change, code points from
-U+2E80, one-to-many lower case) or with a special token's string are given to the library itself.  Edge cases: null and
-empty texts have no tokens; a very long piece costs n log n.
+The merge rules become a second deterministic transducer, over the bytes of a piece: a transition carries the number of tokens that its
+byte adds to what the merges leave of the prefix (or takes back), and a piece's end the number that the end adds.  All pieces of a slice walk it
+together, and what they emit is added up.  Transitions are compiled from the merge ranks when a piece first takes them: the tokens of a prefix
+are those of a shorter one and a last token, which is found by looking whether any merge would reach across the border of two tokens.
+Transitions are looked up by state and byte, so no result rests on a hash.  Pieces of more than MOST_BYTES bytes are merged directly.
+
+Texts are normalised first.  Those with a character of no sure class (unassigned or private, one-to-many lower case, a capital sigma) or
+with a special token's string are given to the library itself.  Edge cases: null and empty texts have no tokens; a very long piece costs n log n.
 """
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import os
 import unicodedata
+from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +36,17 @@ from .textops import U64, HashIndex, Rolling, flat, mix, ranges, slices, tidied,
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-TOP = 0x2E80
+TOP = 0x40000
 CHUNK = 64
-#: A cache is dropped beyond this many pieces; that costs time, and changes no result.
-MOST_PIECES = 800_000
+#: States are dropped beyond this number, pieces without states beyond these bytes, and pieces' ids beyond this number of pieces; that costs time, and changes no result.
+MOST_STATES, MOST_LONG, MOST_PIECES = 2_000_000, 1 << 24, 800_000
+#: Bytes of a piece that has states.
+MOST_BYTES = 64
+UNKNOWN = np.iinfo(np.int32).min
 # Classes: space, letter, number, other, apostrophe with a contraction of one letter, of two, and unsafe characters.
 SPACE, LETTER, NUMBER, OTHER, SHORT, LONG, UNSAFE = range(7)
 # Unicode white space below TOP.
-WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F]
+WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 # The pre-tokenizer's contractions.
 CONTRACTIONS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"]
 
@@ -46,10 +56,10 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     for c in range(TOP):
         x = chr(c)
         low = x.lower()
-        if len(low) != 1 or ord(low) >= TOP or x == "Σ" or not unicodedata.is_normalized("NFC", x) or 0x1100 <= c < 0x1200:
+        if len(low) != 1 or x == "Σ" or unicodedata.category(x) in ("Cn", "Cs", "Co"):
             continue
-        family = unicodedata.category(x)
-        if family[0] == "M" or family in ("Cn", "Cs", "Co"):
+        # the library's order of marks may be that of an older standard
+        if unicodedata.combining(x) and unicodedata.ucd_3_2_0.category(x) == "Cn":
             continue
         lower[c] = ord(low)
         family = unicodedata.category(low)
@@ -122,8 +132,25 @@ def pieces(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return np.flatnonzero(begins), np.flatnonzero(solid & after) + 1, low, unsafe
 
 
+@dataclass
+class Parsed:
+    """Bytes in lower case, pieces in them, bounds of the pieces by text, hashes of pieces if asked for, content and its bounds by text, texts for the library."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    bounds: np.ndarray
+    hashes: np.ndarray
+    content: tuple[np.ndarray, np.ndarray]
+    odd: list[int]
+
+
 class Compiled:
-    """A tokenizer file of the word BPE kind, compiled; kept by a worker for all of its tasks."""
+    """A tokenizer file of the word BPE kind, compiled; kept by a worker for all of its tasks.
+
+    State 0 is a piece's start, and state k + 1 is where transition k leads: a prefix of pieces.  The merges leave of a prefix the tokens
+    of a shorter one, and one more: its last token, the one that stays apart from the last of what is before it.
+    """
 
     _held: dict[str, Compiled] = {}
 
@@ -144,44 +171,217 @@ class Compiled:
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
-        self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
+        self.vocabulary: dict[str, int] = model["vocab"]
+        #: a merge's place among the merges, by its pair; a token's place and parts; single symbols have neither
+        self.rank: dict[tuple[str, str], int] = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
+        self.parts: dict[str, tuple[int, str, str]] = {a + b: (i, a, b) for (a, b), i in self.rank.items()}
+        self.longest = max(len(t.removesuffix(self.suffix)) for t in self.vocabulary)
         self.byte = _byte_symbols()
+        self.sound: dict[str, bool] = {}
         self.values = mix(np.arange(TOP + 1, dtype=U64) + U64(977)) | U64(1)
         self.reset()
 
     def reset(self) -> None:
-        self.index, self.counts = HashIndex(18), np.zeros(0, np.int32)
-        self.ids, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        """Drops all states but the start."""
+        self.index = HashIndex(18)
+        self.emits = np.zeros(1 << 12, np.int32)  # tokens that a transition adds (or takes back)
+        self.closes = np.full(1 << 12, UNKNOWN, np.int32)  # by state: tokens that a piece's end adds
+        self.parent, self.symbol = array("i", [-1]), array("B", [0])
+        self.total, self.back, self.last = array("i", [0]), array("i", [0]), [""]  # by state: tokens of the prefix, the state before its last token, that token
+        self.long: dict[bytes, int] = {}
+        self.long_bytes = 0
+
+    def apart(self, a: str, b: str, own: bool = False) -> bool:
+        """Whether no merge joins what is left of the border of tokens a and b with what is right of it, at any time; own: but their own."""
+        rank, parts = self.rank, self.parts
+        limit, strict = 1 << 60, True
+        while True:
+            got = rank.get((a, b))
+            if got is not None and not own and (got < limit or not strict and got == limit):
+                return False
+            own = False
+            x, y = parts.get(a), parts.get(b)
+            if x is None and y is None:
+                return True
+            # back to before the later of the two was merged; of one merge's places the right one is later
+            if y is None or x is not None and x[0] > y[0]:
+                limit, a, strict = x[0], x[2], True
+            else:
+                limit, b, strict = y[0], y[1], False
+
+    def whole(self, token: str) -> bool:
+        """Whether the merges make this token of its own symbols."""
+        got = self.sound.get(token)
+        if got is None:
+            part = self.parts.get(token)
+            got = part is None or self.whole(part[1]) and self.whole(part[2]) and self.apart(part[1], part[2], own=True)
+            self.sound[token] = got
+        return got
+
+    def _path(self, state: int) -> tuple[str, list[int]]:
+        """(symbols of a state's prefix, states on the way to it from the start)."""
+        line, symbols = [state], []
+        while state:
+            symbols.append(self.byte[self.symbol[state]])
+            state = self.parent[state]
+            line.append(state)
+        return "".join(reversed(symbols)), line[::-1]
+
+    def _last(self, text: str, line: list[int]) -> tuple[int, str]:
+        """(state before the last token, last token) of the symbols of a path of states, or of them and the suffix."""
+        n = len(line) - 1
+        for at in range(max(0, n - self.longest), n):
+            token = text[at:]
+            if token in self.vocabulary and self.whole(token):
+                before = line[at]
+                if not before or self.apart(self.last[before], token):
+                    return before, token
+        raise ValueError("a symbol isn't in the vocabulary")
+
+    def _end(self, state: int) -> tuple[int, str]:
+        text, line = self._path(state)
+        return self._last(text + self.suffix, line)
+
+    def close(self, states: list[int]) -> None:
+        """Compiles pieces' ends."""
+        for s in states:
+            before, _ = self._end(s)
+            self.closes[s] = self.total[before] + 1 - self.total[s]
+
+    def walk(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state, tokens emitted on the way) of each piece of data[start:end], MOST_BYTES of it at most; missing transitions are compiled."""
+        size = np.minimum(ends - starts, MOST_BYTES).astype(np.uint8)
+        order = np.argsort(size, kind="stable")[::-1]
+        count = len(size) - np.cumsum(np.bincount(size, minlength=MOST_BYTES + 1))  # pieces longer than a size
+        at = starts[order]
+        state, emitted = np.zeros(len(at), np.int64), np.zeros(len(at), np.int32)
+        step, near = 0, {}
+        while step <= MOST_BYTES and count[step]:
+            m = int(count[step])
+            key = mix((state[:m] << 8 | data[at[:m] + step]).astype(U64))
+            go = self.index.find(key)
+            new = np.flatnonzero(go < 0)
+            if len(new):
+                fresh, first = np.unique(key[new], return_index=True)
+                first = new[first]
+                gc.disable()  # the lists of a step hold no cycles, and there are many
+                near = self._compile(state[:m][first].tolist(), data[at[first] + step].tolist(), near)
+                gc.enable()
+                self.index.add(fresh)
+                go[new] = self.index.find(key[new])
+            emitted[:m] += self.emits[go]
+            state[:m] = go + 1
+            step += 1
+        out, sums = np.empty_like(state), np.empty_like(emitted)
+        out[order], sums[order] = state, emitted
+        return out, sums
+
+    def _compile(self, states: list[int], symbols: list[int], near: dict[int, tuple[str, list[int]]]) -> dict[int, tuple[str, list[int]]]:
+        """Adds transitions from states by symbols; near: paths of the states of the step before.  Returns those of the new states."""
+        n = len(self.parent)
+        while n + len(states) >= len(self.emits):
+            self.emits = np.concatenate((self.emits, np.zeros_like(self.emits)))
+            self.closes = np.concatenate((self.closes, np.full_like(self.closes, UNKNOWN)))
+        paths, emits = {}, []
+        for k, (s, b) in enumerate(zip(states, symbols, strict=True), n):
+            text, line = near.get(s) or self._path(s)
+            text += self.byte[b]
+            line = [*line, k]
+            before, token = self._last(text, line)
+            total = self.total[before] + 1
+            emits.append(total - self.total[s])
+            self.parent.append(s)
+            self.symbol.append(b)
+            self.total.append(total)
+            self.back.append(before)
+            self.last.append(token)
+            paths[k] = text, line
+        self.emits[n - 1 : n - 1 + len(emits)] = emits
+        return paths
+
+    def parsed(self, texts: pa.Array, hashes: bool = False) -> Parsed:
+        """Pieces of some texts, and which texts are for the library."""
+        raw, offsets = flat(texts)
+        whole = raw.tobytes()
+        odd = set()
+        for s in self.special:
+            at = whole.find(s)
+            while at >= 0:
+                odd.add(int(np.searchsorted(offsets, at, "right")) - 1)
+                at = whole.find(s, at + 1)
+        string = whole.decode()
+        if not unicodedata.is_normalized("NFC", string):
+            raw, offsets = flat(pa.array([unicodedata.normalize("NFC", t or "") for t in texts.to_pylist()], pa.string()))
+            string = raw.tobytes().decode()
+        text = np.frombuffer(string.encode("utf-32-le"), np.uint32)
+        starts, ends, low, unsafe = pieces(text)
+        # code points before each byte offset
+        if len(text) == len(raw):
+            ends_at = offsets
+        else:
+            ends_at = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[offsets]
+        if unsafe.any():
+            odd |= set((np.searchsorted(ends_at, np.flatnonzero(unsafe), "right") - 1).tolist())
+        h, content = np.zeros(0, U64), (np.zeros(0, U64), np.zeros(0, np.int64))
+        if hashes:
+            n = len(low)
+            power, inverse = Rolling.tables(n + 1)
+            sums = np.zeros(n + 1, U64)
+            np.cumsum(self.values[np.minimum(low, TOP)] * power[:n], out=sums[1:])
+            h = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64))
+            content = h, np.searchsorted(starts, ends_at)
+            loose = np.flatnonzero(unsafe)
+            if len(loose):
+                at = np.concatenate((starts, loose))
+                order = np.argsort(at, kind="stable")
+                content = np.concatenate((h, mix(text[loose].astype(U64) + U64(1 << 32))))[order], np.searchsorted(at[order], ends_at)
+        bounds = np.searchsorted(starts, ends_at)
+        if odd:
+            keep = np.ones(len(starts), bool)
+            for d in odd:
+                keep[bounds[d] : bounds[d + 1]] = False
+            starts, ends, h = starts[keep], ends[keep], h[keep[: len(h)]]
+            bounds = np.searchsorted(starts, ends_at)
+        # pieces as bytes
+        if len(text) and int(low.max()) >= 0x80:
+            width = 1 + (low >= 0x80).astype(np.int64) + (low >= 0x800) + (low >= 0x10000)
+            to = np.concatenate(([0], np.cumsum(width)))
+            data = np.frombuffer(low.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
+            starts, ends = to[starts], to[ends]
+        else:
+            data = low.astype(np.uint8)
+        return Parsed(data, starts, ends, bounds, h, content, sorted(odd))
+
+    def emitted(self, p: Parsed) -> np.ndarray:
+        """Tokens of each piece."""
+        if len(self.parent) > MOST_STATES:
+            self.reset()
+        short = p.ends - p.starts <= MOST_BYTES
+        out = np.zeros(len(p.starts), np.int64)
+        state, out[short] = self.walk(p.data, p.starts[short], p.ends[short])
+        self.close(np.unique(state[self.closes[state] == UNKNOWN]).tolist())
+        out[short] += self.closes[state]
+        for i in np.flatnonzero(~short).tolist():
+            out[i] = self.emitted_long(p.data[p.starts[i] : p.ends[i]].tobytes())
+        return out
 
-    def emitted(self, piece: str) -> int:
-        """Tokens that the merge rules leave of one piece."""
-        symbols = [self.byte[b] for b in piece.encode()]
-        symbols[-1] += self.suffix
-        if len(symbols) > 48:
-            return self._emitted_long(symbols)
-        rank = self.rank
-        while len(symbols) > 1:
-            best, at = min((rank.get(p, 1 << 30), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
-            if best == 1 << 30:
-                break
-            a, b = symbols[at], symbols[at + 1]
-            out, i = [], 0
-            while i < len(symbols):
-                if i + 1 < len(symbols) and symbols[i] == a and symbols[i + 1] == b:
-                    out.append(a + b)
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
-        return len(symbols)
-
-    def _emitted_long(self, symbols: list[str]) -> int:
-        n = len(symbols)
+    def emitted_long(self, piece: bytes) -> int:
+        """Tokens of a piece that has no state, by merges in the order of their ranks."""
+        got = self.long.get(piece)
+        if got is None:
+            if self.long_bytes > MOST_LONG:
+                self.long, self.long_bytes = {}, 0
+            symbols = [self.byte[b] for b in piece]
+            symbols[-1] += self.suffix
+            got = self.long[piece] = self._merged(symbols)
+            self.long_bytes += len(piece)
+        return got
+
+    def _merged(self, symbols: list[str]) -> int:
+        n = left = len(symbols)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         heap = [(self.rank[p], i, p) for i in range(n - 1) if (p := (symbols[i], symbols[i + 1])) in self.rank]
         heapq.heapify(heap)
-        left = n
         while heap:
             _, i, pair = heapq.heappop(heap)
             j = after[i]
@@ -200,99 +400,60 @@ class Compiled:
                 heapq.heappush(heap, (self.rank[p], h, p))
         return left
 
-    def paths(self, texts: pa.Array, ids: bool = False) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], list[int]]:
-        """(path of each piece, bounds of the pieces by text, content, texts for the library).
-
-        content: hashes and their bounds by text; those of texts for the library are of their pieces and, if ids are asked for, of each unsafe character.
-        """
-        raw, offsets = flat(texts)
-        whole = raw.tobytes()
-        text = np.frombuffer(whole.decode().encode("utf-32-le"), np.uint32)
-        starts, ends, low, unsafe = pieces(text)
-        # code points before each byte offset
-        if len(text) == len(raw):
-            ends_at = offsets
-        else:
-            ends_at = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))[offsets]
-        odd = set()
-        if unsafe.any():
-            odd |= set((np.searchsorted(ends_at, np.flatnonzero(unsafe), "right") - 1).tolist())
-        for s in self.special:
-            at = whole.find(s)
-            while at >= 0:
-                odd.add(int(np.searchsorted(offsets, at, "right")) - 1)
-                at = whole.find(s, at + 1)
-        bounds = np.searchsorted(starts, ends_at)
-        n = len(low)
-        power, inverse = Rolling.tables(n + 1)
-        sums = np.zeros(n + 1, U64)
-        np.cumsum(self.values[low] * power[:n], out=sums[1:])
-        h = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64))
-        content = h, bounds
-        if odd:
-            if ids:
-                loose = np.flatnonzero(unsafe)
-                at = np.concatenate((starts, loose))
-                order = np.argsort(at, kind="stable")
-                content = np.concatenate((h, mix(text[loose].astype(U64) + U64(1 << 32))))[order], np.searchsorted(at[order], ends_at)
-            keep = np.ones(len(starts), bool)
-            for d in odd:
-                keep[bounds[d] : bounds[d + 1]] = False
-            starts, ends, h = starts[keep], ends[keep], h[keep]
-            bounds = np.searchsorted(starts, ends_at)
-        path = self.index.find(h)
-        new = np.flatnonzero(path < 0)
-        if len(new):
-            if self.index.count + len(new) > MOST_PIECES:
-                self.reset()
-                new = np.arange(len(h))
-            fresh, first = np.unique(h[new], return_index=True)
-            first = new[first]
-            strings = [low[a:b].tobytes().decode("utf-32-le") for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-            if ids:
-                # an encoding holds a lot besides its ids
-                got = [np.array(e.ids, np.int32) for i in range(0, len(strings), 4096) for e in self.library.encode_batch(strings[i : i + 4096], add_special_tokens=False)]
-                size = np.array([len(x) for x in got], np.int64)
-                self.ids = np.concatenate([self.ids, *got])
-                self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(size)))
-            else:
-                self.counts = np.concatenate((self.counts, np.array([self.emitted(x) for x in strings], np.int32)))
-            self.index.add(fresh)
-            path = self.index.find(h)
-        return path, bounds, content, sorted(odd)
-
     def count(self, texts: pa.Array) -> np.ndarray:
-        path, bounds, _, odd = self.paths(texts)
-        sums = np.concatenate(([0], np.cumsum(self.counts[path], dtype=np.int64)))
-        out = sums[bounds[1:]] - sums[bounds[:-1]]
-        for d in odd:
+        p = self.parsed(texts)
+        sums = np.concatenate(([0], np.cumsum(self.emitted(p))))
+        out = sums[p.bounds[1:]] - sums[p.bounds[:-1]]
+        for d in p.odd:
             out[d] = len(self.library.encode(texts[d].as_py(), add_special_tokens=False).ids)
         return out
 
 
 class Encoded(Compiled):
-    """The same with token ids, as the library gives them."""
+    """The same lexer with token ids: the library's, kept for each distinct piece by its 64-bit hash."""
 
     _held: dict[str, Encoded] = {}
 
+    def reset(self) -> None:
+        self.index = HashIndex(18)
+        self.ids, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, bounds by text, hashes of the content, bounds of those by text)."""
-        path, bounds, content, odd = self.paths(texts, ids=True)
-        size = (self.bounds[1:] - self.bounds[:-1])[path]
-        ids = self.ids[ranges(self.bounds[path], size)]
-        sums = np.concatenate(([0], np.cumsum(size)))
-        cut = sums[bounds]
-        if odd:
+        """(ids, bounds by text, hashes of the content, bounds of those by text).
+
+        The content is pieces and, of texts for the library, each unsafe character, too.
+        """
+        p = self.parsed(texts, hashes=True)
+        h = p.hashes
+        number = self.index.find(h)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            if self.index.count + len(new) > MOST_PIECES:
+                self.reset()
+                new = np.arange(len(h))
+            fresh, first = np.unique(h[new], return_index=True)
+            first = new[first]
+            strings = [p.data[a:b].tobytes().decode() for a, b in zip(p.starts[first].tolist(), p.ends[first].tolist(), strict=True)]
+            # an encoding holds a lot besides its ids
+            got = [np.array(e.ids, np.int32) for i in range(0, len(strings), 4096) for e in self.library.encode_batch(strings[i : i + 4096], add_special_tokens=False)]
+            self.ids = np.concatenate([self.ids, *got])
+            self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum([len(x) for x in got], dtype=np.int64)))
+            self.index.add(fresh)
+            number = self.index.find(h)
+        size = (self.bounds[1:] - self.bounds[:-1])[number]
+        ids = self.ids[ranges(self.bounds[number], size)]
+        cut = np.concatenate(([0], np.cumsum(size)))[p.bounds]
+        if p.odd:
             parts, at = [], 0
-            extra = np.zeros(len(bounds), np.int64)
-            for d in odd:
+            extra = np.zeros(len(p.bounds), np.int64)
+            for d in p.odd:
                 got = np.array(self.library.encode(texts[d].as_py(), add_special_tokens=False).ids, np.int32)
                 parts += [ids[at : cut[d]], got]
                 at = cut[d]
                 extra[d + 1 :] += len(got)
             ids = np.concatenate([*parts, ids[at:]])
             cut = cut + extra
-        return ids, cut, *content
+        return ids, cut, *p.content
 
 
 def _byte_symbols() -> list[str]:

@@ -314,6 +314,25 @@ def test_cache_reset(monkeypatch):
             assert ids[cut[i] : cut[i + 1]].tolist() == e.ids
 
 
+def test_transducer(monkeypatch):
+    """Emitted tokens along transitions are the library's, of all kinds of characters, and after states were dropped."""
+    monkeypatch.setattr(transducer, "MOST_STATES", 3000)
+    machine = transducer.Compiled("word_bpe_49k.json")
+    rng = random.Random(9)
+    kinds = ["abcdefgh", "étéÉß", "кириллица", "漢字かな", "हिन्दी", "한국어", "🙂👍🏽", "e\u0301\u0323", "'s're", "  \n\u3000", "0123", "...!?", "\u1100\u1161\u11a8"]
+    for _ in range(4):
+        part = ["".join(rng.choice(rng.choice(kinds)) for _ in range(rng.randint(0, 80))) for _ in range(500)]
+        part += ["x" * 64, "y" * 65, "ab" * 500, "a" * 63 + "é", "Σ", "e\u0323\u0301" * 30, "\u0ece\u0323"]
+        want = [len(e.ids) for e in machine.library.encode_batch(part, add_special_tokens=False)]
+        assert machine.count(pa.array(part)).tolist() == want
+    # a path's transitions add up to its tokens, and only the start has none before it
+    total = np.array(machine.total)
+    assert (machine.emits[: len(total) - 1] == total[1:] - total[np.array(machine.parent)[1:]]).all()
+    everyone = [chr(c) for c in range(0xD800)] + [chr(c) for c in range(0xE000, 0x20000)]
+    part = [f"a{c}B1{c}{c} {c}'s" for c in everyone[:: 7]]
+    assert machine.count(pa.array(part)).tolist() == [len(e.ids) for e in machine.library.encode_batch(part, add_special_tokens=False)]
+
+
 def test_state_maps_compose():
     kinds = np.random.default_rng(0).integers(0, 6, 1000).astype(np.uint8)
     entry, _ = transducer.state_maps(kinds)
