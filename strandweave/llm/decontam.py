@@ -10,7 +10,8 @@ suffix position, and the occurrences of a document are merged into removal spans
 Test items are handled in blocks of a bounded number of bytes, which travel with the task; more blocks mean more passes
 over the documents, each of which adds to the spans of the one before.  Nothing is shuffled.
 
-Words are compared by 64-bit hashes.  Edge cases: a null or empty text has no words; an item with a null id or without words
+Words are found by 64-bit hashes; those of an occurrence are compared byte by byte, and words of items with equal hashes have symbols of
+their own, so no result rests on a hash.  Edge cases: a null or empty text has no words; an item with a null id or without words
 is no item; items with equal ids count once; an item of fewer than eight words is one phrase; an empty table of either
 kind gives rows without hits, or no rows.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..tables import written
-from .textops import LOWER, HashIndex, Rolling, flat, ranges, runs, slices, tidied, tuned
+from .textops import LOWER, HashIndex, Rolling, flat, ranges, runs, same_bytes, slices, tidied, tuned
 
 #: Words of a phrase; bytes of test items in one pass; distance of sampled suffix positions.
 PHRASE, ITEM_BYTES, SAMPLE = 8, 16 << 20, 4
@@ -37,8 +38,7 @@ FOUND = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_h
 
 
 def words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and hashes of the words."""
-    raw = LOWER[raw]
+    """Starts, ends and hashes of the words of lower-cased bytes."""
     starts, ends = runs(_WORD[raw])
     return starts, ends, Rolling(raw).of(starts, ends)
 
@@ -48,10 +48,22 @@ class Phrases:
 
     def __init__(self, ids: list[str], texts: list[str], phrase: int) -> None:
         raw, offsets = flat(pa.array(texts, pa.string()))
-        starts, _, h = words(raw)
-        vocabulary = np.unique(h)
-        self.vocabulary = vocabulary
-        symbol = np.searchsorted(vocabulary, h).astype(np.int32) + 1
+        raw = LOWER[raw]
+        starts, ends, h = words(raw)
+        # one word for each hash, and the others that have the hash of one
+        self.vocabulary, first, which = np.unique(h, return_index=True, return_inverse=True)
+        symbol = which.astype(np.int32) + 1
+        self.size_of = (ends - starts)[first]
+        self.data = raw[ranges(starts[first], self.size_of)]
+        self.begins = np.cumsum(self.size_of) - self.size_of
+        apart = np.flatnonzero(~self.spelt(raw, starts, ends, symbol))
+        self.crowded, self.others = np.unique(h[apart]), {}
+        for i in apart.tolist():
+            symbol[i] = self.others.setdefault(raw[starts[i] : ends[i]].tobytes(), len(self.vocabulary) + len(self.others) + 1)
+        added = np.frombuffer(b"".join(self.others), np.uint8)
+        self.size_of = np.concatenate((self.size_of, np.array([len(x) for x in self.others], np.int64)))
+        self.data = np.concatenate((self.data, added))
+        self.begins = np.cumsum(self.size_of) - self.size_of
         bounds = np.searchsorted(starts, offsets)
         n = np.diff(bounds)
         count = np.where(n == 0, 0, np.maximum(n - phrase + 1, 1))
@@ -67,6 +79,13 @@ class Phrases:
         self.item = pair[:, 1]
         self.ids = ids
 
+    def spelt(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Whether words of a text are those of their symbols, byte by byte."""
+        size = ends - starts
+        same = self.size_of[symbol - 1] == size
+        same[same] = same_bytes(raw, starts[same], self.data, self.begins[symbol[same] - 1], size[same])
+        return same
+
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Of a sequence of non-negative symbols whose last is its only -1 (the end)."""
@@ -167,7 +186,7 @@ def occurrences(sequence: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.
     place = ranges(a, size + 1)
     reduced = sequence[np.minimum(place, len(sequence) - 1)].copy()
     reduced[np.cumsum(size + 1) - 1] = 0
-    index = FMIndex(reduced, len(phrases.vocabulary))
+    index = FMIndex(reduced, len(phrases.size_of))
     who, low, high = index.search(phrases.rows, phrases.size)
     row = ranges(low, high - low)
     return np.repeat(who, high - low), place[index.locate(row)]
@@ -217,12 +236,21 @@ def _searcher(phrases: Phrases, at: int, cut: bool):
     return search
 
 
+def _covered(n: int, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of n words lie in occurrences."""
+    change = np.bincount(first, minlength=n + 1) - np.bincount(first + size, minlength=n + 1)
+    return np.cumsum(change[:-1]) > 0
+
+
 def _searched(part: pa.RecordBatch, texts: pa.Array, phrases: Phrases, known: HashIndex) -> pa.RecordBatch:
     raw, offsets = flat(texts)
+    raw = LOWER[raw]
     starts, ends, h = words(raw)
     bounds = np.searchsorted(starts, offsets)
     n_words = np.diff(bounds)
     symbol = known.find(h) + 1
+    for i in np.flatnonzero(np.isin(h, phrases.crowded)).tolist() if len(phrases.crowded) else ():
+        symbol[i] = phrases.others.get(raw[starts[i] : ends[i]].tobytes(), symbol[i])
     # a separator follows each document
     row = np.repeat(np.arange(len(n_words)), n_words)
     sequence = np.zeros(len(h) + len(n_words), np.int32)
@@ -230,10 +258,13 @@ def _searched(part: pa.RecordBatch, texts: pa.Array, phrases: Phrases, known: Ha
     which, place = occurrences(sequence, phrases)
     doc = np.searchsorted(bounds[1:] + np.arange(len(n_words)), place, "right")
     word = place - doc
-    change = np.zeros(len(h) + 1, np.int64)
-    np.add.at(change, word, 1)
-    np.add.at(change, word + phrases.size[which], -1)
-    hit = np.cumsum(change[:-1]) > 0
+    hit = _covered(len(h), word, phrases.size[which])
+    at = np.flatnonzero(hit)
+    wrong = at[~phrases.spelt(raw, starts[at], ends[at], symbol[at])]
+    if len(wrong):  # a word that isn't in the vocabulary has the hash of one that is
+        true = np.searchsorted(wrong, word) == np.searchsorted(wrong, word + phrases.size[which])
+        which, word, doc = which[true], word[true], doc[true]
+        hit = _covered(len(h), word, phrases.size[which])
     sums = np.concatenate(([0], np.cumsum(hit)))
     n_hit = sums[bounds[1:]] - sums[bounds[:-1]]
     pair = np.unique((doc << 32) | which)

@@ -162,6 +162,27 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return shift + np.arange(total)
 
 
+#: The lowest 0 to 8 bytes of a 64-bit word.
+_LOWEST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
+def same_bytes(a: np.ndarray, at: np.ndarray, b: np.ndarray, to: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether size bytes of a from at on are those of b from to on, pair by pair; long ones one by one, others eight bytes at a time."""
+    out = np.ones(len(size), bool)
+    long = size > 64
+    for i in np.flatnonzero(long).tolist():
+        out[i] = np.array_equal(a[at[i] : at[i] + size[i]], b[to[i] : to[i] + size[i]])
+    wide_a, wide_b = (np.ndarray(len(x) + 1, "<u8", np.concatenate((x, np.zeros(8, np.uint8))), strides=(1,)) for x in (a, b))
+    live = np.flatnonzero(~long & (size > 0))
+    k = 0
+    while len(live):
+        left = size[live] - k
+        out[live] &= ((wide_a[at[live] + k] ^ wide_b[to[live] + k]) & _LOWEST[np.minimum(left, 8)]) == 0
+        k += 8
+        live = live[left > 8]
+    return out
+
+
 def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sum of values[bounds[i]:bounds[i + 1]] for each i; empty segments give zero."""
     sums = np.concatenate((np.zeros(1, values.dtype if values.dtype.kind == "f" else np.int64), np.cumsum(values, dtype=values.dtype if values.dtype.kind == "f" else np.int64)))
