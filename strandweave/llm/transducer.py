@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import U64, HashIndex, Rolling, flat, mix, ranges, slices, tidied, tuned
+from .textops import U64, HashIndex, Rolling, flat, mix, ranges, same_bytes, slices, tidied, tuned
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -410,13 +410,18 @@ class Compiled:
 
 
 class Encoded(Compiled):
-    """The same lexer with token ids: the library's, kept for each distinct piece by its 64-bit hash."""
+    """The same lexer with token ids: the library's, kept for each distinct piece.
+
+    Pieces are found by 64-bit hashes and compared byte by byte; a text with a piece whose hash is another's goes to the library.
+    """
 
     _held: dict[str, Encoded] = {}
 
     def reset(self) -> None:
         self.index = HashIndex(18)
         self.ids, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        # the pieces themselves: bytes, and where each begins
+        self.data, self.begins = np.zeros(0, np.uint8), np.zeros(1, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, bounds by text, hashes of the content, bounds of those by text).
@@ -428,12 +433,15 @@ class Encoded(Compiled):
         number = self.index.find(h)
         new = np.flatnonzero(number < 0)
         if len(new):
-            if self.index.count + len(new) > MOST_PIECES:
+            if self.index.count + len(new) > MOST_PIECES or len(self.data) > MOST_LONG:
                 self.reset()
                 new = np.arange(len(h))
             fresh, first = np.unique(h[new], return_index=True)
             first = new[first]
-            strings = [p.data[a:b].tobytes().decode() for a, b in zip(p.starts[first].tolist(), p.ends[first].tolist(), strict=True)]
+            own = [p.data[a:b] for a, b in zip(p.starts[first].tolist(), p.ends[first].tolist(), strict=True)]
+            self.data = np.concatenate([self.data, *own])
+            self.begins = np.concatenate((self.begins, self.begins[-1] + np.cumsum([len(x) for x in own], dtype=np.int64)))
+            strings = [x.tobytes().decode() for x in own]
             # an encoding holds a lot besides its ids
             got = [np.array(e.ids, np.int32) for i in range(0, len(strings), 4096) for e in self.library.encode_batch(strings[i : i + 4096], add_special_tokens=False)]
             self.ids = np.concatenate([self.ids, *got])
@@ -443,14 +451,18 @@ class Encoded(Compiled):
         size = (self.bounds[1:] - self.bounds[:-1])[number]
         ids = self.ids[ranges(self.bounds[number], size)]
         cut = np.concatenate(([0], np.cumsum(size)))[p.bounds]
-        if p.odd:
+        length = p.ends - p.starts
+        same = self.begins[number + 1] - self.begins[number] == length
+        same[same] = same_bytes(p.data, p.starts[same], self.data, self.begins[number[same]], length[same])
+        odd = sorted({*p.odd, *(np.searchsorted(p.bounds, np.flatnonzero(~same), "right") - 1).tolist()})
+        if odd:
             parts, at = [], 0
             extra = np.zeros(len(p.bounds), np.int64)
-            for d in p.odd:
+            for d in odd:
                 got = np.array(self.library.encode(texts[d].as_py(), add_special_tokens=False).ids, np.int32)
                 parts += [ids[at : cut[d]], got]
-                at = cut[d]
-                extra[d + 1 :] += len(got)
+                at = cut[d + 1]
+                extra[d + 1 :] += len(got) - (cut[d + 1] - cut[d])
             ids = np.concatenate([*parts, ids[at:]])
             cut = cut + extra
         return ids, cut, *p.content
