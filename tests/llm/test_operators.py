@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from strandweave.llm import components, decontam, labelled, media, packing, pagediff, quality, simhash, suffixdedup, toxicity, transducer, warc
-from strandweave.llm.textops import HashIndex, Rolling, flat, tuned
+from strandweave.llm.textops import HashIndex, Rolling, flat, same_bytes, tuned
 
 WORDS = "the of and stone river quick cloud naïve größe été mañana it's we're 42 x1 !!! —".split()
 
@@ -57,6 +57,19 @@ def test_rolling_hashes_and_index():
     assert index.find(np.unique(keys)).tolist() == list(range(len(np.unique(keys)))) and index.find(np.array([5], np.uint64))[0] == -1
 
 
+def test_same_bytes():
+    rng = np.random.default_rng(4)
+    a, b = (rng.integers(0, 2, 3000).astype(np.uint8) for _ in range(2))
+    b[1000:2000] = a[500:1500]
+    size = np.concatenate((rng.integers(0, 90, 900), rng.integers(0, 6, 2000), [0, 0, 1, 1]))
+    at, to = (rng.integers(0, 3000 - size) if len(size) else size for _ in range(2))
+    at[:400], to[:400] = 500 + np.arange(400), 1000 + np.arange(400)
+    at[-4:], to[-4:] = [3000, 0, 2999, 0], [3000, 3000, 2999, 2999]
+    want = [bytes(a[i : i + n]) == bytes(b[j : j + n]) for i, j, n in zip(at, to, size, strict=True)]
+    assert same_bytes(a, at, b, to, size).tolist() == want
+    assert 400 < sum(want) < len(want)
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (5, 5), (9, 8), (8, 7), (7, 9), *[(100 + i, 101 + i) for i in range(40)], *[(0, 200 + i) for i in range(50)]]
     got = {r.v: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -271,6 +284,32 @@ def test_contamination(spark, docs, none, monkeypatch, item_bytes):
     assert decontam.contamination(docs, bench.limit(0)).where("contamination.n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("bits", [64, 6, 0])
+def test_words_with_equal_hashes(monkeypatch, bits):
+    """Hits don't rest on hashes: the same with hashes of 64 bits, of six, and of none."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdé") for _ in range(rng.choice([1, 2, 3, 9, 40, 80]))) for _ in range(300)]
+    some = [" ".join(rng.choice(words[:200]) for _ in range(60)) for _ in range(30)]
+    items = [" ".join(some[k].split()[5:25]) for k in range(6)] + [words[0], words[5], "nowhere else"]
+    some = [t if k % 2 else t.replace(words[5], words[250]).upper() for k, t in enumerate(some)] + ["", None, " ".join(words[200:])]
+    of = Rolling.of
+    monkeypatch.setattr(Rolling, "of", lambda self, a, b: of(self, a, b) & np.uint64((1 << bits) - 1))
+    phrases = decontam.Phrases([str(k) for k in range(len(items))], items, 8)
+    assert bits == 64 or len(phrases.others) > 30
+    known = HashIndex()
+    known.add(phrases.vocabulary)
+    part = pa.record_batch({"c0": pa.array(some, pa.string()), "found": pa.nulls(len(some))})
+    windows = [(str(k), tuple(w[a : a + 8])) for k, t in enumerate(items) if (w := lowered(t)) for a in range(max(1, len(w) - 7))]
+    for t, found in zip(some, decontam._searched(part, part.column(0), phrases, known).column(1).to_pylist(), strict=True):
+        w, hit, ids = lowered(t), set(), set()
+        for k, window in windows:
+            for i in range(len(w) - len(window) + 1):
+                if tuple(w[i : i + len(window)]) == window:
+                    hit |= set(range(i, i + len(window)))
+                    ids.add(k)
+        assert (found["n_words"], found["n_hit"], found["items"]) == (len(w), len(hit), sorted(ids))
+
+
 def test_fm_index():
     rng = np.random.default_rng(5)
     for n, high in ((1, 2), (40, 3), (300, 5), (500, 40)):
@@ -314,6 +353,18 @@ def test_cache_reset(monkeypatch):
             assert ids[cut[i] : cut[i + 1]].tolist() == e.ids
 
 
+@pytest.mark.parametrize("bits", [64, 8, 0])
+def test_pieces_with_equal_hashes(monkeypatch, bits):
+    """Ids don't rest on hashes: the same with hashes of 64 bits, of eight, and of none."""
+    mix = transducer.mix
+    machine = transducer.Encoded("word_bpe_49k.json")
+    monkeypatch.setattr(transducer, "mix", lambda h: mix(h) & np.uint64((1 << bits) - 1))
+    for part in (texts(4, 20), [*ODD, None, "", *texts(5, 20)]):
+        ids, cut, _, _ = machine.encode(pa.array(part))
+        for i, e in enumerate(machine.library.encode_batch([t or "" for t in part], add_special_tokens=False)):
+            assert ids[cut[i] : cut[i + 1]].tolist() == e.ids
+
+
 def test_transducer(monkeypatch):
     """Emitted tokens along transitions are the library's, of all kinds of characters, and after states were dropped."""
     monkeypatch.setattr(transducer, "MOST_STATES", 3000)
