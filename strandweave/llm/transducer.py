@@ -423,6 +423,17 @@ class Encoded(Compiled):
         # the pieces themselves: bytes, and where each begins
         self.data, self.begins = np.zeros(0, np.uint8), np.zeros(1, np.int64)
 
+    def _encoded(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids by piece) of pieces on end, by the library's model; it takes a character for each byte."""
+        characters = np.array([ord(c) for c in self.byte], "<u4")[data].tobytes().decode("utf-32-le")
+        tokenize, ids, counts, at = self.library.model.tokenize, [], [], 0
+        for to in ends.tolist():
+            got = tokenize(characters[at:to])
+            ids += [t.id for t in got]
+            counts.append(len(got))
+            at = to
+        return np.array(ids, np.int32), np.array(counts, np.int64)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, bounds by text, hashes of the content, bounds of those by text).
 
@@ -438,14 +449,14 @@ class Encoded(Compiled):
                 new = np.arange(len(h))
             fresh, first = np.unique(h[new], return_index=True)
             first = new[first]
-            own = [p.data[a:b] for a, b in zip(p.starts[first].tolist(), p.ends[first].tolist(), strict=True)]
-            self.data = np.concatenate([self.data, *own])
-            self.begins = np.concatenate((self.begins, self.begins[-1] + np.cumsum([len(x) for x in own], dtype=np.int64)))
-            strings = [x.tobytes().decode() for x in own]
-            # an encoding holds a lot besides its ids
-            got = [np.array(e.ids, np.int32) for i in range(0, len(strings), 4096) for e in self.library.encode_batch(strings[i : i + 4096], add_special_tokens=False)]
-            self.ids = np.concatenate([self.ids, *got])
-            self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum([len(x) for x in got], dtype=np.int64)))
+            size = (p.ends - p.starts)[first]
+            own = p.data[ranges(p.starts[first], size)]
+            ends = np.cumsum(size)
+            self.begins = np.concatenate((self.begins, self.begins[-1] + ends))
+            self.data = np.concatenate((self.data, own))
+            got, counts = self._encoded(own, ends)
+            self.ids = np.concatenate((self.ids, got))
+            self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(counts)))
             self.index.add(fresh)
             number = self.index.find(h)
         size = (self.bounds[1:] - self.bounds[:-1])[number]
