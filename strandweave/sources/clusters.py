@@ -1,4 +1,4 @@
-"""Cluster solutions, tours, graphs and reports.  These files are small; each is one row, whose lines are numbered by position."""
+"""Cluster solutions, tours, graphs and reports.  Lines are numbered by the parts of a file that tasks read, so a file may have any size."""
 
 from __future__ import annotations
 
@@ -6,13 +6,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import ParseError
-from ..functions.prefix import ranked
+from ..functions.prefix import ranked, running_sum
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(n, line) of a file from 0, as they are; nothing is sorted: a line's number is its place in its part, after the parts before it."""
+    at = F.col("_metadata.file_block_start")
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("_path"), at.alias("_start"), F.monotonically_increasing_id().alias("_at"), F.regexp_replace("value", r"\r$", "").alias("line"))
+    parts = rows.groupBy("_path", "_start").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select("_path", "_start", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_base"))  # a row for each part
+    return rows.join(F.broadcast(base), ["_path", "_start"]).select((F.col("_base") + F.col("_at")).cast("int").alias("n"), "line")
 
 
 def numbered_lines(spark: SparkSession, path: str, stop_at_blank: bool = True) -> DataFrame:
     """(n, line) of a file from 0, trimmed, up to the first blank line."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"))
-    rows = rows.select("n", F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")).alias("line"))
+    rows = _lines(spark, path).select("n", F.regexp_replace("line", r"^\s+|\s+$", "").alias("line"))
     if not stop_at_blank:
         return rows
     end = rows.where("line = ''").agg(F.coalesce(F.min("n"), F.lit(2**31 - 1)).alias("_end"))  # one row
@@ -90,14 +99,17 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_yaml_report(spark: SparkSession, path: str) -> DataFrame:
     """The same of a report in block-style YAML of that shape."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).where(F.trim("line") != "")
+    rows = _lines(spark, path).where(F.trim("line") != "")
     depth = F.length(F.regexp_extract("line", r"^( *)", 1))
     rows = rows.select("n", depth.alias("depth"), F.regexp_extract("line", r"^ *['\"]?(.*?)['\"]?:(?:\s|$)", 1).alias("key"), F.trim(F.regexp_extract("line", r":\s+(.*)$", 1)).alias("value"), F.trim("line").alias("item"))
     levels = [r[0] for r in rows.where("item not like '-%'").select("depth").distinct().orderBy("depth").limit(3).collect()]  # the three outer levels
     if len(levels) < 3:
         raise ParseError("the report isn't a map of sequences")
-    w = Window.orderBy("n")
-    name = F.last(F.when(F.col("depth") == levels[1], F.col("key")), True).over(w)
+    # lines of a name: as many names begin up to each
+    begins = (F.col("depth") == levels[1]) & ~F.col("item").startswith("- ")
+    rows = running_sum(rows, "n", begins.cast("long"), "_before").withColumn("_name", F.col("_before") + begins.cast("long"))
+    w = Window.partitionBy("_name").orderBy("n")
+    name = F.when(F.col("_name") > 0, F.first("key").over(w))
     field = F.last(F.when(F.col("depth") >= levels[2], F.when(F.col("item").startswith("- "), None).otherwise(F.col("key"))), True).over(w)
     value = F.when(F.col("item").startswith("- "), F.trim(F.expr("substring(item, 3)"))).otherwise(F.when(F.col("value") != "", F.col("value")))
     rows = rows.select("n", name.alias("name"), field.alias("field"), value.alias("value"), (F.col("depth") >= levels[2]).alias("_in") | F.col("item").startswith("- "))

@@ -189,3 +189,27 @@ def test_command_line(spark, tmp_path, capsys):
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect()) == ["0 1 2", "3 4", "5"]
     cli.main(["--ofmt", "graphml", "--otype", "simple", str(tmp_path / "e"), str(tmp_path / "xml")])
     assert "nodes=6" in capsys.readouterr().out
+
+
+def test_lines_of_a_file_in_many_parts(spark, tmp_path):
+    """Numbers, reports and the end at a blank line don't depend on where a file is cut."""
+    lines = [f" {k} {'x' * (k * 7 % 90)} " for k in range(500)]
+    (tmp_path / "cut.txt").write_bytes("\r\n".join([*lines, "\t", "beyond"]).encode())
+    report = "seq_info:\n" + "".join(f"  s{k}:\n    coverage: {k}.5\n    length: {k}\n    sites:\n    - {k}\n    - {k + 1}\n" for k in range(200))
+    (tmp_path / "cut.yml").write_text(report)
+    (tmp_path / "none.txt").write_text("")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        assert spark.read.text(str(tmp_path / "cut.txt")).rdd.getNumPartitions() > 8
+        got = clusters.numbered_lines(spark, str(tmp_path / "cut.txt")).collect()
+        assert sorted((r.n, r.line) for r in got) == [(k, x.strip()) for k, x in enumerate(lines)]
+        every = clusters.numbered_lines(spark, str(tmp_path / "cut.txt"), stop_at_blank=False)
+        assert every.where("n >= 500").orderBy("n").collect() == [(500, ""), (501, "beyond")]
+        rows = clusters.parse_yaml_report(spark, str(tmp_path / "cut.yml")).collect()
+        assert sorted((r.name, r.coverage, r.sites, r.length) for r in rows) == sorted((f"s{k}", k + 0.5, [k, k + 1], k) for k in range(200))
+        assert clusters.numbered_lines(spark, str(tmp_path / "none.txt")).count() == 0
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
