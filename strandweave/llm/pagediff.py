@@ -4,14 +4,16 @@ A page is read into lines, one for each block element.  Menus, headers, footers,
 reader comments are known by element, role or whole class name and marked; a class name marks no element that holds the only
 main or article element, or most of the text of a page without one.  Then pages are range-sorted by host and URL path; each
 is paired with its nearest neighbour on the host (the longest common path prefix, then the shortest way along the order)
-that isn't a copy of it, their lines are aligned by longest common subsequence, and shared lines are deleted.  A page with
-a main or article element keeps exactly that element's unmarked lines: a passage that two articles share is no template, so
-the alignment covers the lines outside the element there; a page without one keeps its unmarked, unshared lines.
-
-Rows of a host with equal text that follow each other count as one neighbour, so the nearest different page is found behind
-any number of copies.  A neighbour may lie in another sorted partition, so the first and last of these runs (URLs and line
+that isn't a copy of it, their lines are aligned by longest common subsequence, and shared lines are deleted; then a check
+deletes the marked lines that are left.  A page without a main or article element keeps its unmarked, unshared lines.  On a
+page with one, its longest article (or the main element's own lines, if longer) is the body, and isn't aligned: a passage
+that two bodies share is no template.  The check deletes what lies outside the main or article elements; in them, differencing
+decides on the lines beside the body: the main element's own ones go singly, but its h1, and other articles as a whole.
+
+Rows of a host with equal text (equal bodies, where there are some) that follow each other count as one neighbour, so the
+nearest different page is found behind any number of copies.  A neighbour may lie in another sorted partition, so the first and last of these runs (URLs and line
 hashes only) are handed on: a few rows for each partition.  Edge cases: null and empty html gives an empty text; a null
-URL has the empty host and path; copies of a page, and pages that have every line of it, never delete its lines; repeated rows keep a row each; the rest of an
+URL has the empty host and path; copies of a page never delete its lines, nor do pages that have every line of one without a body; repeated rows keep a row each; the rest of an
 element that is never closed belongs to it, but a head ends where its elements do, and markup such as an unclosed svg is read on.
 """
 
@@ -41,6 +43,8 @@ ROLES = set("navigation banner contentinfo complementary search form dialog aler
 NAMES = set("ad ads advert adverts advertisement advertising sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead header topbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus respond reply replies pagination pager toolbar widget skip".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: What structure says of a line: it goes; it stays; it goes if the neighbour has it. From SIDE on, the number of an article that goes if the neighbour has all of it.
+CHROME, BODY, OPENED, SIDE = range(4)
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+|[^<>]*+)/?>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -76,14 +80,20 @@ def _chrome(token: str) -> bool:
 
 def lines(page: str | None) -> tuple[list[str], list[str]]:
     """(lines of the main element, or else of the body; lines outside it).  Marked lines are in the latter."""
-    found: list[tuple[str, bool, int, tuple]] = []  # line, marked, 1: in an article, 2: in the main element, elements around it that a name marks
+    found = classed(page)
+    return [x for x, kind in found if kind], [x for x, kind in found if not kind]
+
+
+def classed(page: str | None) -> list[tuple[str, int]]:
+    """Lines of a page with what structure says of each; those of a page without a main or article element are CHROME or OPENED."""
+    found: list[tuple[str, bool, int, tuple, int, bool]] = []  # line, marked, 1: in an article, 2: in the main element, elements around it that a name marks, article, in an h1
     parts: list[str] = []
-    stack: list[tuple] = []  # tag, marked, place, in a header of the article, elements that a name marks
-    outside = (False, 0, False, ())
+    stack: list[tuple] = []  # tag, marked, place, in a header of the article, elements that a name marks, outermost article
+    outside = (False, 0, False, (), 0)
     state = outside
     at, page = 0, page or ""
-    heading = False
-    n_named = 0
+    heading = ""
+    n_named = n_articles = 0
     holds: dict[int, int] = {}  # the most of place in each of those
 
     def flush() -> None:
@@ -91,7 +101,7 @@ def lines(page: str | None) -> tuple[list[str], list[str]]:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                found.append((text, state[0] or state[2] and not heading, state[1], state[3]))
+                found.append((text, state[0] or state[2] and not heading, state[1], state[3], state[4], heading == "h1"))
 
     match = TOKEN.search(page)
     while match:
@@ -106,7 +116,7 @@ def lines(page: str | None) -> tuple[list[str], list[str]]:
             if tag in BLOCKS:
                 flush()
             if tag in HEADINGS:
-                heading = False
+                heading = ""
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
@@ -127,40 +137,52 @@ def lines(page: str | None) -> tuple[list[str], list[str]]:
                     stack.pop()
                     state = stack[-1][1:] if stack else outside
             if tag in HEADINGS:
-                heading = True
+                heading = tag
             if tag not in VOID:
                 marked, named = _marked(tag, match[3], state[1] > 0)
                 place = 2 if tag == "main" or "role" in match[3] and re.search(r"role\s*=\s*[\"']?main\b", match[3]) else max(state[1], 1 if tag == "article" else 0)
                 names = state[3]
                 if named:
                     names, n_named = (*names, n_named), n_named + 1
+                article = state[4]
+                if tag == "article" and not article:
+                    article = n_articles = n_articles + 1
                 if place > state[1]:
                     holds |= {k: max(place, holds.get(k, 0)) for k in names}
                 if block or marked or named:
-                    state = (state[0] or marked, place, state[2] or tag == "header" and state[1] > 0, names)
+                    state = (state[0] or marked, place, state[2] or tag == "header" and state[1] > 0, names, article)
                     stack.append((tag, *state))
         match = TOKEN.search(page, at)
     parts.append(re.sub(r"<[/!a-zA-Z][^>]*\Z", "", page[at:]))  # a page may end within a tag
     flush()
     # a name marks no element that holds the only main or article element, or, where that leaves no text of one, most of the text
-    best = max((place for _, marked, place, names in found if not marked and not names), default=0)
+    best = max((place for _, marked, place, names, *_ in found if not marked and not names), default=0)
     free = {k for k, place in holds.items() if place > best}
-    if not any(place and not marked and free.issuperset(names) for _, marked, place, names in found):
+    if not any(place and not marked and free.issuperset(names) for _, marked, place, names, *_ in found):
         within: dict[int, int] = {}
-        for x, marked, _, names in found:
+        for x, marked, _, names, *_ in found:
             for k in names if not marked else ():
                 within[k] = within.get(k, 0) + len(x)
         whole = sum(len(x) for x, marked, *_ in found if not marked)
         free |= {k for k, n in within.items() if 2 * n > whole}
-    known = [(x, marked or not free.issuperset(names), place) for x, marked, place, names in found]
-    best = max((place for _, marked, place in known if not marked), default=0)
-    inner = [x for x, marked, place in known if not marked and place >= max(best, 0)]
-    outer = [x for x, marked, place in known if marked or place < best]
-    return inner, outer if best else [x for x, marked, _ in known if marked]
-
-
-def has_main(page: str | None) -> bool:
-    return bool(page) and re.search(r"<(?:article|main)\b|role\s*=\s*[\"']?main\b", page, re.I) is not None
+    known = [(x, marked or not free.issuperset(names), place, article, title) for x, marked, place, names, article, title in found]
+    best = max((place for _, marked, place, *_ in known if not marked), default=0)
+    if not best:
+        return [(x, CHROME if marked else OPENED) for x, marked, *_ in known]
+    sizes: dict[int, int] = {}
+    for x, marked, place, article, _ in known:
+        if not marked and place == best:
+            sizes[article] = sizes.get(article, 0) + len(x)
+    body = max(sizes, key=lambda k: sizes[k])
+
+    def kind(marked: bool, place: int, article: int, title: bool) -> int:
+        if marked or place < best:
+            return CHROME
+        if article == body or not article and title:
+            return BODY
+        return SIDE + article if article else OPENED
+
+    return [(x, kind(*rest)) for x, *rest in known]
 
 
 #: Bits of the table that an alignment is traced back in; larger ones are halved.
@@ -253,7 +275,7 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 def extracted(pages: DataFrame, html: str = "html", url: str = "url", id_: str = "page_id") -> DataFrame:
-    """page_id, url, text, and what differencing did: aligned lines, shared lines, and lines of the text that it deleted."""
+    """page_id, url, text, and what differencing did: aligned lines, shared lines, lines that it deleted, and lines that the check did afterwards."""
     tuned(pages.sparkSession)
     pages = pages.select(pages[id_].cast("long").alias("page_id"), pages[url].cast("string").alias("url"), pages[html].cast("string").alias("html"))
     # ranges of (host, path, id) come from a sample of URLs alone, so that pages are read once
@@ -268,17 +290,19 @@ def extracted(pages: DataFrame, html: str = "html", url: str = "url", id_: str =
             for part in slices(batch, "html"):
                 out: dict[str, list] = {n: [] for n in ("range", "host", "path", "lines", "main", "hashes", "whole")}
                 for i, u, h in zip(*(part.column(n).to_pylist() for n in ("page_id", "url", "html")), strict=True):
-                    inner, outer = lines(h)
-                    main = has_main(h)
+                    found = classed(h)
+                    kinds = np.array([k for _, k in found], np.int32)
+                    main = BODY in kinds
                     host, path = split_url(u)
-                    text = "\n".join(inner).encode()
+                    text = "\n".join(x for x, k in found if k)
+                    body = "\n".join(x for x, k in found if k == BODY) if main else text
                     out["range"].append(bisect_right(splitters, (host, path, _known(i))))
                     out["host"].append(host)
                     out["path"].append(path)
-                    out["lines"].append(pack.compress(text))
+                    out["lines"].append(pack.compress(len(kinds).to_bytes(4, "little") + kinds.tobytes() + text.encode()))
                     out["main"].append(main)
-                    out["hashes"].append(_hashes(outer if main else inner))
-                    out["whole"].append(xxhash.xxh64_intdigest(text) - (1 << 63))
+                    out["hashes"].append(_hashes([x for x, k in found if k != (BODY if main else CHROME)]))
+                    out["whole"].append(xxhash.xxh64_intdigest(body.encode()) - (1 << 63))
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *(pa.array(out[n], k) for n, k in (("range", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.binary()), ("main", pa.bool_()), ("hashes", pa.binary()), ("whole", pa.int64())))], ["page_id", "url", *out])
 
     rows = pages.mapInArrow(tidied(read), "page_id long, url string, range int, host string, path string, lines binary, main boolean, hashes binary, whole long")
@@ -343,7 +367,10 @@ def extracted(pages: DataFrame, html: str = "html", url: str = "url", id_: str =
         def emit(i: int, row: tuple) -> tuple:
             page_id, url, packed, main, host, path, hashes, whole = row
             mine = np.frombuffer(hashes, np.uint64).tolist()
-            text = unpack.decompress(packed).decode().split("\n") if packed else []
+            content = unpack.decompress(packed)
+            at = 4 + 4 * int.from_bytes(content[:4], "little")
+            kinds = np.frombuffer(content[4:at], np.int32).tolist()
+            text = iter(content[at:].decode().split("\n"))
             others = []
             for j in range(max(0, i - REACH), min(len(known), i + REACH + 1)):
                 other = known[j][1 if j < i else 0]
@@ -356,16 +383,20 @@ def extracted(pages: DataFrame, html: str = "html", url: str = "url", id_: str =
                 if len(got) < len(mine) or main:
                     shared = got
                     break
-            if not main and shared:
-                drop = set(shared)
-                text = [x for k, x in enumerate(text) if k not in drop]
-            joined = "\n".join(text)
-            return page_id, url, joined, len(joined), len(mine), len(shared), 0 if main else len(shared)
+            aligned = [k for k, kind in enumerate(kinds) if kind != (BODY if main else CHROME)]
+            deleted = {aligned[k] for k in shared}
+            whole_sides = {kind for kind in kinds if kind > SIDE} - {kinds[k] for k in aligned if k not in deleted}
+            deleted = {k for k in deleted if kinds[k] < SIDE or kinds[k] in whole_sides}
+            # lines of the text stand for all kinds but CHROME, which is checked last
+            left = [(kind, next(text) if kind else "") for kind in kinds]
+            left = [x for k, x in enumerate(left) if k not in deleted]
+            joined = "\n".join(x for kind, x in left if kind != CHROME)
+            return page_id, url, joined, len(joined), len(mine), len(shared), len(deleted), sum(kind == CHROME for kind, _ in left)
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
-            kinds = (pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "url", "text", "n_chars", "n_aligned", "n_shared", "n_deleted"])
+            kinds = (pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 5)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "url", "text", "n_chars", "n_aligned", "n_shared", "n_deleted", "n_checked"])
 
         for batch in batches:
             for part in slices(batch, "url", 1 << 16):
@@ -386,7 +417,7 @@ def extracted(pages: DataFrame, html: str = "html", url: str = "url", id_: str =
         for k in range(0, len(waiting), 256):
             yield out([emit(i, row) for i, row in waiting[k : k + 256]])
 
-    return rows.mapInArrow(tidied(compare), "page_id long, url string, text string, n_chars long, n_aligned long, n_shared long, n_deleted long")
+    return rows.mapInArrow(tidied(compare), "page_id long, url string, text string, n_chars long, n_aligned long, n_shared long, n_deleted long, n_checked long")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -77,6 +77,41 @@ def test_pairs_against_a_plain_version(spark, ranges):
     assert page_texts(spark, rows) == {k: "\n".join(x) for k, x in want.items()}
 
 
+def test_differencing_beside_the_body(spark, ranges):
+    """Pages with article or main elements: differencing decides on lines that structure leaves open, and on no line of a body."""
+    body = lambda i: f"<article><h1>T{i}</h1><p>story {i} goes on for many words, more than all else</p><p>passage of two articles</p></article>"
+    text = lambda i: f"T{i}\nstory {i} goes on for many words, more than all else\npassage of two articles"
+    card = lambda i: f"<article><h2>Card {i}</h2><p>read it</p></article>"
+    rows, want = [], {}
+
+    def add(host, path, html, expected):
+        want[len(rows)] = expected
+        rows.append((len(rows), f"http://{host}.example/{path}", html))
+
+    for i in range(4):
+        add("main", i, f"<main><div>Start</div><h1>Section</h1>{body(i)}<div>More stories</div><p>beside {i}</p></main><footer>f {i}</footer>", f"Section\n{text(i)}\nbeside {i}")
+        # an article that pages share goes as a whole; one that differs in a line stays as a whole
+        add("cards", i, body(i) + card("of all") + card(i), f"{text(i)}\nCard {i}\nread it")
+        # an article element in a script, a comment or a sidebar is no main element
+        add("script", i, f"<script>x = '<article>'</script><div>Template</div><p>own {i}</p>", f"own {i}")
+        add("remark", i, f"<!-- <main> --><div>Template</div><p>own {i}</p>", f"own {i}")
+        add("aside", i, f"<div>Template</div><p>own {i}</p><aside><article>teaser {i}</article></aside>", f"own {i}")
+        # the main element's own lines are its body where they are longer
+        add("own", i, f"<main><p>own lines of {i}, longer than any article in it</p><p>passage</p>{card('of all')}</main>", f"own lines of {i}, longer than any article in it\npassage")
+    # one article with different cards, and a page of three articles beside one of them
+    for i in range(3):
+        add("same", i, body(0) + card(i), f"{text(0)}\nCard {i}\nread it")
+    add("home", "", body(10) + body(11) + body(12), f"{text(10)}\n{text(11)}\n{text(12)}")
+    add("home", "11", body(11), text(11))
+    assert page_texts(spark, rows) == want
+
+
+def test_what_differencing_and_the_check_deleted(spark):
+    rows = [(i, f"http://h.example/{i}", f"<nav>menu</nav><main><p>Start</p><article>story of {i}, and more of it</article></main><footer>footer {i}</footer>") for i in range(3)]
+    got = pagediff.extracted(spark.createDataFrame(rows, PAGE)).collect()
+    assert {tuple(r)[2:] for r in got} == {(f"story of {i}, and more of it", 26, 3, 2, 2, 1) for i in range(3)}
+
+
 def test_curve_keys_of_texts_for_the_library():
     machine = transducer.Encoded.of("word_bpe_49k.json")
     special = machine.special[0].decode()
