@@ -6,9 +6,10 @@ main or article element, or most of the text of a page without one.  Then pages
 is paired with its nearest neighbour on the host (the longest common path prefix, then the shortest way along the order)
 that isn't a copy of it, their lines are aligned by longest common subsequence, and shared lines are deleted; then a check
 deletes the marked lines that are left.  A page without a main or article element keeps its unmarked, unshared lines.  On a
-page with one, its longest article (or the main element's own lines, if longer) is the body, and isn't aligned: a passage
-that two bodies share is no template.  The check deletes what lies outside the main or article elements; in them, differencing
-decides on the lines beside the body: the main element's own ones go singly, but its h1, and other articles as a whole.
+page with one, its longest article (or the main element's own lines, if longer) and articles with an h1 are the body, and
+aren't aligned: a passage that two bodies share is no template.  The check deletes what lies outside the main or article
+elements; in them, differencing decides on the lines beside the body: the main element's own ones go singly, but its h1, and
+other articles as a whole.
 
 Rows of a host with equal text (equal bodies, where there are some) that follow each other count as one neighbour, so the
 nearest different page is found behind any number of copies.  A neighbour may lie in another sorted partition, so the first and last of these runs (URLs and line
@@ -173,12 +174,12 @@ def classed(page: str | None) -> list[tuple[str, int]]:
     for x, marked, place, article, _ in known:
         if not marked and place == best:
             sizes[article] = sizes.get(article, 0) + len(x)
-    body = max(sizes, key=lambda k: sizes[k])
+    stays = {max(sizes, key=lambda k: sizes[k]), *(article for _, marked, place, article, title in known if title and article and not marked and place == best)}
 
     def kind(marked: bool, place: int, article: int, title: bool) -> int:
         if marked or place < best:
             return CHROME
-        if article == body or not article and title:
+        if article in stays or not article and title:
             return BODY
         return SIDE + article if article else OPENED
 

@@ -103,6 +103,12 @@ def test_differencing_beside_the_body(spark, ranges):
         add("same", i, body(0) + card(i), f"{text(0)}\nCard {i}\nread it")
     add("home", "", body(10) + body(11) + body(12), f"{text(10)}\n{text(11)}\n{text(12)}")
     add("home", "11", body(11), text(11))
+    plain = lambda i: body(i).replace("h1", "h2")
+    add("blog", "", plain(10) + plain(11) + plain(12) + body(13), f"{text(10)}\n{text(11)}\n{text(12)}\n{text(13)}")
+    add("blog", "11", plain(11), text(11))
+    # a short first post that pages of a thread repeat
+    for i in range(3):
+        add("thread", i, f"<article><h1>Question</h1><p>short</p></article>{plain(i)}", f"Question\nshort\n{text(i)}")
     assert page_texts(spark, rows) == want
 
 
