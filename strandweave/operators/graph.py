@@ -146,6 +146,12 @@ def connected(edges: DataFrame) -> DataFrame:
         label = new
 
 
+def stars(cliques: DataFrame, by: list[str]) -> DataFrame:
+    """(src, dst, weight): each clique's (or each part's, by more columns) least node linked to its nodes, itself too; cliques: clique, node, weight."""
+    lead = cliques.groupBy(*by).agg(F.min("node").alias("_lead"))
+    return cliques.join(lead, by).select(F.col("_lead").alias("src"), F.col("node").alias("dst"), "weight")
+
+
 def ordered_nodes(edges: DataFrame, order: str) -> DataFrame:
     """(node, rank): distinct nodes of edges by first appearance; order: a column that numbers the edges."""
     rows = edges.select(F.explode(F.array(F.struct((2 * F.col(order)).alias("at"), F.col("src").alias("node")), F.struct((2 * F.col(order) + 1).alias("at"), F.col("dst").alias("node")))).alias("x"))

@@ -9,13 +9,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..deploy import ship
 from ..errors import TooFewError, UnsupportedError
 from ..tables import written
-from .community import Graph, louvain_labels
+from .community import Graph, louvain, louvain_labels
+from .graph import stars
 from .reports import eligible
 
 #: The largest distance that a 32-bit tour solver takes, before it is shared out.
@@ -434,9 +435,64 @@ def heavy_first(edges: list[tuple[int, int, float]], source: int | None = None)
     return walk
 
 
-def graphical_order(edges: DataFrame, alpha: float = 1.0, seed: int = 0, weight: str = "weight", by: str | None = None) -> DataFrame:
+def _walk(inner: list[tuple[int, int, float]]) -> list[int]:
+    """Nodes of a depth-first walk of the least spanning tree, the heaviest of its edges first."""
+    return list(dict.fromkeys(x for edge in heavy_first(spanning_tree(inner)) for x in edge))
+
+
+def _by_communities(edges: DataFrame, cliques: DataFrame | None, alpha: float, seed: int, weight: str) -> DataFrame:
+    """graphical_order of a whole graph: a task for each component's communities, one for their order, and one for the walk of each."""
+    label = written(louvain(edges, seed=seed, cliques=cliques))
+    sizes = written(label.groupBy("cl_id").agg(F.count("*").alias("n")))
+    n = sizes.count()
+    if n > WHOLE_NODES:
+        raise UnsupportedError(f"{n} communities, more than {WHOLE_NODES} of a matrix, aren't put in order")
+    ends = edges.select("src", "dst", F.col("weight").alias("w"), F.col(weight).alias("x"))
+    for x in ("src", "dst"):
+        ends = ends.join(label.select(F.col("node").alias(x), F.col("cl_id").alias(f"c_{x}")), x)
+    between = ends.where("c_src <> c_dst").select(F.least("c_src", "c_dst").alias("p"), F.greatest("c_src", "c_dst").alias("q"), "x", F.lit(1).cast("long").alias("k"))
+    inner = ends.where("c_src = c_dst").select(F.col("c_src").alias("cl_id"), "src", "dst", "w")
+    # a node's own row keeps it in its community's part
+    inner = inner.unionByName(label.select("cl_id", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("w")))
+    if cliques is not None:
+        held = cliques.join(label, "node").select("clique", "node", "weight", "cl_id")
+        shares = held.groupBy("clique", "cl_id").agg(F.count("*").alias("k"), F.max("weight").alias("weight"))
+        split = shares.alias("a").join(shares.alias("b"), "clique").where("a.cl_id < b.cl_id").select(F.col("a.cl_id").alias("p"), F.col("b.cl_id").alias("q"), (F.col("a.weight") * F.col("a.k") * F.col("b.k")).alias("x"), (F.col("a.k") * F.col("b.k")).alias("k"))
+        between = between.unionByName(split)
+        # of a clique's equal edges, ties by nodes, a least spanning tree takes those of the least node
+        star = stars(held, ["clique", "cl_id"]).join(label.withColumnRenamed("node", "src"), "src")
+        inner = inner.unionByName(star.select("cl_id", "src", "dst", F.col("weight").alias("w")))
+    cells = between.groupBy("p", "q").agg((F.sum("x") / F.sum("k")).alias("mean"))
+    cells = cells.unionByName(sizes.select(F.col("cl_id").alias("p"), F.col("cl_id").alias("q"), F.lit(0.0).alias("mean")))
+
+    def places(part: pd.DataFrame) -> pd.DataFrame:
+        mean = np.zeros((n, n))
+        mean[part["p"], part["q"]] = part["mean"]
+        return pd.DataFrame({"cl_id": np.array(assignment(1 / (mean + alpha)), np.int32), "place": np.arange(n, dtype=np.int32)})
+
+    def walked(part: pd.DataFrame) -> pd.DataFrame:
+        inner = zip(part["src"].tolist(), part["dst"].tolist(), (1 / (part["w"] + alpha)).tolist(), strict=True)
+        found = list(dict.fromkeys(_walk(list(inner)) + sorted(set(part["src"]))))
+        return pd.DataFrame({"cl_id": part["cl_id"].iloc[0], "at": np.arange(len(found), dtype=np.int32), "node": np.array(found, np.int64)})
+
+    place = cells.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda part: places(part), "cl_id int, place int")
+    row = Window.orderBy(F.col("n") == 1, "place").rowsBetween(Window.unboundedPreceding, -1)  # a row for each community
+    base = place.join(sizes, "cl_id").withColumn("base", F.coalesce(F.sum("n").over(row), F.lit(0))).select("cl_id", "base")
+    tasks = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8 * edges.sparkSession.sparkContext.defaultParallelism)
+    walks = inner.repartition(tasks, "cl_id").groupBy("cl_id").applyInPandas(lambda part: walked(part), "cl_id int, at int, node long")
+    return walks.join(base, "cl_id").select(F.lit(0).alias("cl_id"), (F.col("base") + F.col("at")).cast("int").alias("rank"), "node")
+
+
+def graphical_order(edges: DataFrame, alpha: float = 1.0, seed: int = 0, weight: str = "weight", by: str | None = None, cliques: DataFrame | None = None) -> DataFrame:
     """(cl_id, rank, node): communities in the order of a linear assignment on their inverted mean weights; within each, a
-    depth-first walk of the least spanning tree over inverted weights, the heaviest of those (the weakest contact) first; single nodes last."""
+    depth-first walk of the least spanning tree over inverted weights, the heaviest of those (the weakest contact) first; single nodes last.
+
+    cliques (clique, node, weight): more edges, between each two nodes of a clique; of a whole graph only.
+    """
+    if by is None:
+        return _by_communities(edges, cliques, alpha, seed, weight)
+    if cliques is not None:
+        raise UnsupportedError("cliques are of a whole graph, not of one that is ordered by=")
 
     def order(part: pd.DataFrame) -> list[int]:
         graph = Graph(part["src"].to_numpy(), part["dst"].to_numpy(), part["weight"].to_numpy())
@@ -459,8 +515,7 @@ def graphical_order(edges: DataFrame, alpha: float = 1.0, seed: int = 0, weight:
             if len(members) == 1:
                 alone += members
                 continue
-            walk = heavy_first(spanning_tree(inner[c]))
-            out += list(dict.fromkeys(x for edge in walk for x in edge))
+            out += _walk(inner[c])
         return out + alone
 
     return _whole(edges, order, by)

@@ -136,3 +136,41 @@ def test_banded_map_balances_alike(spark):
     df = spark.createDataFrame(cells, "i int, j int, value double")
     one, other = ({r.seq_id: r.x for r in balance.scale_factors(df, 1e-8, dense_cells=n).collect()} for n in (10**6, 0))
     assert one.keys() == other.keys() and all(abs(one[k] - other[k]) < 1e-6 for k in one)
+
+
+def test_cliques_are_their_pairs(spark):
+    """Degrees, modularity, code length, merged nodes and links of moving nodes: the same with cliques as with each of their pairs listed."""
+    for seed in range(10):
+        rng = np.random.default_rng(seed)
+        src, dst = np.sort(rng.integers(0, 40, (2, 60)), axis=0)
+        members = [(g, u, float(rng.choice([0.05, 0.3, 1, 3]))) for g in range(6) for u in rng.choice(40, rng.integers(1, 12), replace=False)]
+        members = [(g, u, next(w for h, _, w in members if h == g)) for g, u, _ in members]
+        listed = [(a, b, w) for (g, a, w), (h, b, _) in itertools.combinations(members, 2) if g == h] + [(u, u, 0.0) for _, u, _ in members]
+        w = rng.random(60)
+        one = community.Graph(src, dst, w, tuple(map(np.array, zip(*members, strict=True))))
+        other = community.Graph(*(np.concatenate((x, np.array(y))) for x, y in zip((src, dst, w), zip(*listed, strict=True), strict=True)))
+        total = float(other.degrees().sum())
+        label = rng.integers(0, 8, one.n).tolist()
+        for a, b in ((one, other), (one.merged(label)[0], other.merged(label)[0]), (one.inside(label), other.inside(label))):
+            now = rng.integers(0, 5, a.n).tolist()
+            assert np.allclose(a.degrees(), b.degrees()) and np.allclose(a.loops, b.loops)
+            assert community.modularity(a, now, total) == pytest.approx(community.modularity(b, now, total))
+            assert community.code_length(a, now, total) == pytest.approx(community.code_length(b, now, total))
+            left, right = community.Links(a, list(now)), community.Links(b, list(now))
+            for u in rng.integers(0, a.n, 40).tolist():
+                x, y = left.of(u), right.of(u)
+                assert all(abs(x.get(c, 0.0) - y.get(c, 0.0)) < 1e-9 for c in x | y)
+                to = int(rng.choice(sorted(x)))
+                left.move(u, to)
+                right.move(u, to)
+
+
+def test_orders_with_cliques_are_those_with_their_pairs(spark):
+    edges = [(0, 1, 0.5), (2, 3, 0.1), (3, 8, 0.2), (9, 12, 0.1), (5, 6, 7.0), (13, 13, 1.0)]
+    members = [(g, n, w) for g, nodes, w in ((1, range(4), 1.0), (2, range(4, 9), 2.0), (3, range(9, 12), 1.5), (4, (0, 4, 9, 12), 0.05)) for n in nodes]
+    pairs = [(a, b, w) for (g, a, w), (h, b, _) in itertools.combinations(members, 2) if g == h]
+    some = spark.createDataFrame(edges, "src long, dst long, weight double")
+    got = ordering.graphical_order(some, cliques=spark.createDataFrame(members, "clique long, node long, weight double"))
+    want = ordering.graphical_order(spark.createDataFrame(edges + pairs, some.schema))
+    rows = sorted((r.rank, r.node) for r in got.collect())
+    assert rows == sorted((r.rank, r.node) for r in want.collect()) and [r for r, _ in rows] == list(range(14))
