@@ -26,19 +26,32 @@ from .graph import both_ways, connected, stars
 
 class Net:
     """Links between nodes 0, 1, 2, ... in flat arrays: each pair from both ends, by node; loops; and cliques, in which nodes with shares x and y are
-    linked with weight * x * y.  Merging nodes adds up their shares, so cliques stay cliques."""
+    linked with weight * x * y.  Merging nodes adds up their shares, so cliques stay cliques.  Node numbers have 32 bits."""
 
     def __init__(self, loops: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], shares: tuple[np.ndarray, np.ndarray, np.ndarray], heavy: np.ndarray) -> None:
         """pairs: (a, b, weight), a <> b, repeats allowed; shares: (node, clique, x), each node once in a clique; heavy: cliques' weights."""
         n = self.n = len(loops)
         self.loops = loops
         a, b, w = pairs
-        key, at = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_inverse=True)
-        w, low, high = np.bincount(at, w, len(key)), key // max(n, 1), key % max(n, 1)
-        self.origin = np.concatenate((low, high))
-        order = np.argsort(self.origin, kind="stable")
-        self.origin, self.to, self.link = self.origin[order], np.concatenate((high, low))[order], np.concatenate((w, w))[order]
-        self.start = np.searchsorted(self.origin, np.arange(n + 1))
+        del pairs
+        key = np.minimum(a, b).astype(np.int64) * n + np.maximum(a, b)
+        del a, b
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        key = key[order]
+        new = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
+        w = np.add.reduceat(w[order], new) if len(new) else np.zeros(0)
+        key = key[new]
+        low, high = (key // max(n, 1)).astype(np.int32), (key % max(n, 1)).astype(np.int32)
+        del key, order, new
+        # those of less number come first, by number, as the pairs are by low and high
+        ends = np.concatenate((high, low))
+        order = np.argsort(ends, kind="stable").astype(np.int32)
+        self.start = np.searchsorted(ends, np.arange(n + 1), sorter=order)
+        del ends
+        self.to = np.concatenate((low, high))[order]
+        order %= max(len(w), 1)
+        self.link = w[order]
+        del order
         node, clique, x = shares
         kept = np.bincount(clique, minlength=len(heavy))[clique] > 1
         names, clique = np.unique(clique[kept], return_inverse=True)
@@ -46,6 +59,11 @@ class Net:
         self.heavy, self.member, self.clique, self.share = heavy[names], node[kept][order], clique[order], x[kept][order]
         self.member_start = np.searchsorted(self.member, np.arange(n + 1))
 
+    @property
+    def origin(self) -> np.ndarray:
+        """The node of each link."""
+        return np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.start))
+
     def strengths(self) -> tuple[np.ndarray, np.ndarray]:
         """Weight of each node's links to others: by edges, and of each share."""
         whole = np.bincount(self.clique, self.share, len(self.heavy))
@@ -71,15 +89,17 @@ class Net:
 
     def within(self, label: np.ndarray) -> np.ndarray:
         """Twice the weight of links between different nodes of each community, by label."""
-        same = label[self.origin] == label[self.to]
-        out = np.bincount(label[self.origin[same]], self.link[same], label.max(initial=-1) + 1)
+        small = label.astype(np.int32)
+        own = small[self.origin]
+        same = own == small[self.to]
+        out = np.bincount(own[same], self.link[same], label.max(initial=-1) + 1)
         by, x, squares = self._held(label)
         return out + np.bincount(by[1], self.heavy[by[0]] * (x * x - squares), len(out))
 
     def _held(self, label: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
         """((clique, label), sum of shares, sum of their squares) of each clique's part in a community."""
         m = int(label.max(initial=0)) + 1
-        key, at = np.unique(self.clique * m + label[self.member], return_inverse=True)
+        key, at = np.unique(self.clique.astype(np.int64) * m + label[self.member], return_inverse=True)
         return (key // m, key % m), np.bincount(at, self.share, len(key)), np.bincount(at, self.share**2, len(key))
 
     def held(self, label: np.ndarray) -> list[dict[int, float]]:
@@ -94,17 +114,20 @@ class Net:
         """Communities as nodes, in the order of their labels; and the new node of each old one."""
         names, new = np.unique(np.asarray(label, np.int64), return_inverse=True)
         loops = np.bincount(new, self.loops, len(names)) + self.within(new) / 2
-        a, b = new[self.origin], new[self.to]
-        kept = (self.origin < self.to) & (a != b)
+        small, origin = new.astype(np.int32), self.origin
+        a, b = small[origin], small[self.to]
+        kept = (origin < self.to) & (a != b)
+        del origin
         (clique, node), x, _ = self._held(new)
         return Net(loops, (a[kept], b[kept], self.link[kept]), (node, clique, x), self.heavy), new.tolist()
 
     def inside(self, label: list[int]) -> Net:
         """The links within communities."""
         label = np.asarray(label, np.int64)
-        kept = (self.origin < self.to) & (label[self.origin] == label[self.to])
+        origin = self.origin
+        kept = (origin < self.to) & (label[origin] == label[self.to])
         names, part = np.unique(self.clique * (self.n + 1) + label[self.member], return_inverse=True)
-        return Net(self.loops, (self.origin[kept], self.to[kept], self.link[kept]), (self.member, part, self.share), self.heavy[names // (self.n + 1)])
+        return Net(self.loops, (origin[kept], self.to[kept], self.link[kept]), (self.member, part, self.share), self.heavy[names // (self.n + 1)])
 
 
 class Graph(Net):
@@ -112,8 +135,8 @@ class Graph(Net):
 
     def __init__(self, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, cliques: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> None:
         clique, node, heavy = cliques or (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        self.nodes, at = np.unique(np.concatenate((src, dst, node)), return_inverse=True)
-        a, b, node = np.split(at, [len(src), 2 * len(src)])
+        self.nodes = np.unique(np.concatenate([np.unique(x) for x in (src, dst, node)]))
+        a, b, node = (np.searchsorted(self.nodes, x).astype(np.int32) for x in (src, dst, node))
         own = a == b
         _, first, clique = np.unique(clique, return_index=True, return_inverse=True)
         super().__init__(np.bincount(a[own], weight[own], len(self.nodes)), (a[~own], b[~own], weight[~own]), (node, clique, np.ones(len(node))), heavy[first])

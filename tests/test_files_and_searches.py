@@ -3,6 +3,7 @@
 import itertools
 import json
 import random
+import tracemalloc
 import xml.etree.ElementTree as ET
 from pathlib import Path
 
@@ -174,3 +175,15 @@ def test_orders_with_cliques_are_those_with_their_pairs(spark):
     want = ordering.graphical_order(spark.createDataFrame(edges + pairs, some.schema))
     rows = sorted((r.rank, r.node) for r in got.collect())
     assert rows == sorted((r.rank, r.node) for r in want.collect()) and [r for r, _ in rows] == list(range(14))
+
+
+def test_graphs_take_few_bytes_an_edge():
+    """A component is flat arrays, not dictionaries of numbers: under 100 bytes an edge while it is made, and under 30 afterwards."""
+    rng = np.random.default_rng(0)
+    src, dst = np.sort(rng.integers(0, 2_500, (2, 100_000)), axis=0)
+    weight = np.ones(len(src))
+    tracemalloc.start()
+    graph = community.Graph(src, dst, weight)
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert graph.degrees().sum() == 200_000 and held < 30 * len(src) and most < 100 * len(src)
